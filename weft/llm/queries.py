@@ -28,5 +28,26 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.jaccard import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0))),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * c >= 85 * (zx.n + zy.n - c)),
+e AS (SELECT x AS u, y AS v FROM l UNION SELECT y, x FROM l),
+r AS (SELECT u AS node, u AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) m USING (doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL}

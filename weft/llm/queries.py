@@ -49,5 +49,34 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) m USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_ngram_jaccard": OP6_SQL}
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.binary_codes import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT u AS node, u AS reach FROM l UNION SELECT r.node, l.v FROM r JOIN l ON l.u = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node), k AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN k ON k.u = e.vec_id LEFT JOIN c ON c.node = e.vec_id
+"""
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.cross_polytope import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL}

@@ -73,10 +73,81 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"))
 
 
+
+def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.quality import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.mixing import mix
+
+    return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s0),
+s2 AS (SELECT *, 3 * source_size / weight AS fill FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY fill, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY fill, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s2),
+s4 AS (SELECT source, source_size, coalesce(least(3.0::DOUBLE * source_size, weight * (SELECT arg_min(lv, fill) FROM s3 WHERE lv <= fill)), 0) AS target FROM s3),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM s4),
+a AS (SELECT d.*, source_size, target, floor(r) AS whole, r - floor(r) AS p, target - floor(r) * source_size AS missing FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+b AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM a),
+c AS (SELECT *, p > 0 AND 2 * upto - size <= 2 * missing AS picked FROM b),
+g AS (SELECT source, any_value(missing) - sum(CASE WHEN picked THEN size ELSE 0 END) AS gap FROM c WHERE p > 0 GROUP BY source),
+f AS (SELECT c.source, first(doc_id ORDER BY abs(gap - CASE WHEN picked THEN -size ELSE size END), u, doc_id) AS flip FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
+    WHERE p > 0 AND size > 0 AND abs(gap - CASE WHEN picked THEN -size ELSE size END) < abs(gap) GROUP BY c.source)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN picked <> (flip IS NOT NULL AND flip = doc_id) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.sharding import shard
+
+    return shard(_read(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+k AS (SELECT CASE WHEN sum(n_bytes) // 4194304 = 0 THEN 0 ELSE CAST(floor(log2(sum(n_bytes) // 4194304)) AS INTEGER) + 1 END + 5 AS deep FROM d),
+t AS (SELECT doc_id, n_bytes, h, 0 AS depth, CAST(0 AS BIGINT) AS node, sum(n_bytes) OVER () AS node_bytes FROM d
+  UNION ALL
+  SELECT doc_id, n_bytes, h, depth + 1, h >> (59 - depth), sum(n_bytes) OVER (PARTITION BY h >> (59 - depth)) FROM t, k WHERE node_bytes > 4194304 AND depth < deep),
+l AS (SELECT t.* FROM t, k WHERE node_bytes <= 4194304 OR depth = deep),
+o AS (SELECT *, CASE WHEN node_bytes <= 4194304 THEN 0 WHEN n_bytes <= 2097152
+    THEN ceil(sum(CASE WHEN n_bytes <= 2097152 THEN n_bytes ELSE 0 END) OVER w / 2097152.0) ELSE -sum(CASE WHEN n_bytes <= 2097152 THEN 0 ELSE 1 END) OVER w END AS part
+  FROM l WINDOW w AS (PARTITION BY depth, node ORDER BY h, doc_id, n_bytes ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, n_bytes, depth, right(repeat('0', 60) || bin(node), depth) AS prefix, CAST(part AS BIGINT) AS part, CAST(sum(n_bytes) OVER (PARTITION BY depth, node, part) AS BIGINT) AS shard_bytes FROM o
+"""
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.chat import link_quotes
+
+    return link_quotes(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_length_packing": op2_length_packing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_quality": op4_quality,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
+    "op10_chat": op10_chat,
 }
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": OP9_SQL}

@@ -36,11 +36,12 @@ def parts_of(df: DataFrame, column: str, part_bytes: int = PART_BYTES) -> int:
     return max(1, -(-int(total) // part_bytes))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """id, text and group, dealt by group.  Every use of the same frame shares one exchange."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, parts: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, text and group (and a struct of the carried columns), dealt by group.  Every use of the same frame shares one exchange."""
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
     return docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(parts)).cast("int").alias("grp")
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(parts)).cast("int").alias("grp"), *rest
     ).repartition(parts, "grp")
 
 

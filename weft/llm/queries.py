@@ -113,6 +113,12 @@ FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source
 """
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.html import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.sharding import shard
 
@@ -147,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
 }

@@ -109,14 +109,14 @@ def factor(ref: np.ndarray, place: np.ndarray, found: np.ndarray, k: int) -> lis
     return [(int(a), int(b - a) + k, int(ref[a]), int(place[a])) for a, b in zip(lo, hi, strict=True)]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, with_text: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, with_text: bool = False, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES) -> DataFrame:
     """Factors, kept-word digest and (with_text) the text without its duplicate words, per row of docs.
 
     A text that loses no word is returned unchanged; otherwise each removed word goes together with the
-    white space after it.
+    white space after it.  The columns named in carry come back in a struct named rest.
     """
     k, n = min_words, parts_of(docs, text_col, part_bytes)
-    texts = grouped(docs, id_col, text_col, n)
+    texts = grouped(docs, id_col, text_col, n, carry)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +160,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 else:
                     out["kept_text"].append(left["text"][lo + i].as_py() if with_text else None)
         factors = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
-        return pa.table({"doc_id": left["id"], "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "factors": pa.array(out["factors"], factors), "kept_text": pa.array(out["kept_text"], pa.string())})
+        return pa.table({"doc_id": left["id"], "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "factors": pa.array(out["factors"], factors), "kept_text": pa.array(out["kept_text"], pa.string())} | ({"rest": left["rest"]} if carry else {}))
 
     shared = answers(texts.mapInArrow(anchors, ENTRY), n, _solve)
     by = texts.groupBy("grp")
     index = answers(by.cogroup(shared.groupBy("grp")).applyInArrow(blocks, ENTRY), n, _solve)
-    return by.cogroup(index.groupBy("grp")).applyInArrow(parse, RESULT)
+    result = RESULT + (f", rest {texts.schema['rest'].dataType.simpleString()}" if carry else "")
+    return by.cogroup(index.groupBy("grp")).applyInArrow(parse, result)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from weft.llm.words import Words, flat
 
 # HTML's own element names.
-INLINE = set("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label map mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label map mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template svg math iframe object textarea title select canvas audio video".split())
 CLOSED_BY_SELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}

@@ -1,4 +1,10 @@
 """All queries of the library with their oracle SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from weft.functions import codecs, frames, scoring, text
+from weft.operators import aggregates, audit, joins, sets, templates, windows
+from weft.plans import rollups
+from weft.registry import QUERIES, SQL
+from weft.sources import tables
+from weft.streaming import sessions
+
+__all__ = ["QUERIES", "SQL", "aggregates", "audit", "codecs", "frames", "joins", "rollups", "scoring", "sessions", "sets", "tables", "templates", "text", "windows"]

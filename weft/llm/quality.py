@@ -46,8 +46,9 @@ class Model:
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if dictionary not in _ready:
-        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        if d:
+            d.precompute_compress(level=LEVEL)
         _ready[dictionary] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False)
     return _ready[dictionary]
 

@@ -145,6 +145,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(_read(spark, sf_dir, "conversations"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS raw, regexp_matches(coalesce(text, ''), '(^|\n)\s*>') AS quotes FROM conversations),
+l AS (SELECT conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^\s*(>[\s>]*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^\s*(>[\s>]*)', '') AS body
+  FROM (SELECT DISTINCT conv_id, turn, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM m WHERE quotes)),
+o AS (SELECT conv_id, turn, coalesce(regexp_replace(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '^\n+|\n+$', '', 'g'), '') AS own, count(*) FILTER (level > 0) AS n_quoted FROM l GROUP BY ALL),
+t AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN quotes THEN own ELSE raw END AS text, CASE WHEN quotes THEN n_quoted ELSE 0 END AS n_quoted
+  FROM m LEFT JOIN o ON quotes AND m.conv_id IS NOT DISTINCT FROM o.conv_id AND m.turn IS NOT DISTINCT FROM o.turn),
+p AS (SELECT conv_id, turn, level, string_agg(body, chr(10) ORDER BY i) AS body FROM (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS island FROM l WHERE level > 0) GROUP BY conv_id, turn, level, island),
+a AS (SELECT DISTINCT conv_id, turn, level, kind, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS body
+  FROM (SELECT conv_id, turn, level, 0 AS kind, body FROM p UNION ALL SELECT conv_id, turn, level, 1, unnest(string_split(body, chr(10))) FROM p) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+u AS (SELECT conv_id, turn, unnest(list_concat([text], regexp_split_to_array(text, '\n\s*\n'), string_split(text, chr(10)))) AS body FROM t),
+f AS (SELECT conv_id, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS body, min(turn) AS said FROM u GROUP BY 1, 2),
+r AS (SELECT conv_id, turn, first(said ORDER BY level, kind, said DESC) AS reply_to FROM a JOIN f USING (conv_id, body) WHERE body <> '' AND said < turn GROUP BY conv_id, turn),
+c AS (SELECT conv_id, turn, reply_to AS up FROM r UNION ALL SELECT c.conv_id, c.turn, r.reply_to FROM c JOIN r ON r.conv_id = c.conv_id AND r.turn = c.up),
+z AS (SELECT conv_id, turn, min(up) AS thread_root FROM c GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, role, text, CAST(n_quoted AS INTEGER) AS n_quoted, reply_to, coalesce(thread_root, t.turn) AS thread_root
+FROM t LEFT JOIN r USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_length_packing": op2_length_packing,
@@ -157,4 +176,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
 }
-SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": OP9_SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_embedding_near_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op7_mixing": OP7_SQL, "op9_sharding": OP9_SQL, "op10_chat": OP10_SQL}

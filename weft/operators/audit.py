@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,17 @@ def verify_chain(df: DataFrame, log: str, order: str, hash_col: str = "entry_has
 
 
 def build_chain(df: DataFrame, log: str, order: str) -> DataFrame:
-    """entry_hash over each log in order: every hash covers the one before it."""
-    step = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.when(F.size(acc) == 0, "GENESIS").otherwise(F.element_at(acc, -1)), x["entry_id"], F.coalesce(x["props"], F.lit(""))), 256)))
-    rows = df.groupBy(log).agg(F.sort_array(F.collect_list(F.struct(order, "entry_id", "props"))).alias("rows"))
-    hashed = rows.withColumn("hashes", F.aggregate("rows", F.expr("cast(array() AS array<string>)"), step))
-    return hashed.select(log, F.explode(F.arrays_zip("rows", "hashes")).alias("z")).select(log, "z.rows.*", F.col("z.hashes").alias("entry_hash"))
+    """entry_hash over each log in order: every hash covers the one before it, so a log is one pass."""
+    cols = df.select(log, order, "entry_id", "props")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, prev, out = pdf.sort_values(order), "GENESIS", []
+        for e, p in zip(pdf["entry_id"], pdf["props"], strict=True):
+            prev = hashlib.sha256(f"{prev}{e}{p if isinstance(p, str) else ''}".encode()).hexdigest()
+            out.append(prev)
+        return pdf.assign(entry_hash=out)
+
+    return cols.groupBy(log).applyInPandas(run, cols.select("*").schema.add("entry_hash", "string"))
 
 
 @query("flt_audit_predicates", "SELECT id, session_id, latency_ms FROM audit WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND session_id = 's7'")

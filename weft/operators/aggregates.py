@@ -165,6 +165,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").agg(F.count("*").alias("n"), F.sum("compressed_size").alias("stored"), F.round(F.avg(r), 6).alias("mean_ratio"), F.round(F.sum("original_size") / F.sum("compressed_size"), 6).alias("total_ratio"))
 
 
-@query("agg_latency_summary", "SELECT session_id, count(*) AS n, min(latency_ms) AS least, quantile_cont(latency_ms, 0.99) AS p99, round(1000 * count(*) / sum(latency_ms), 6) AS per_second FROM audit GROUP BY session_id")
+@query("agg_latency_summary", "SELECT session_id, count(*) AS n, min(latency_ms) AS least, round(quantile_cont(latency_ms, 0.99), 6) AS p99, round(1000 * count(*) / sum(latency_ms), 6) AS per_second FROM audit GROUP BY session_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "audit").groupBy("session_id").agg(F.count("*").alias("n"), F.min("latency_ms").alias("least"), F.percentile("latency_ms", 0.99).alias("p99"), F.round(1000 * F.count("*") / F.sum("latency_ms"), 6).alias("per_second"))
+    return read(spark, d, "audit").groupBy("session_id").agg(F.count("*").alias("n"), F.min("latency_ms").alias("least"), F.round(F.percentile("latency_ms", 0.99), 6).alias("p99"), F.round(1000 * F.count("*") / F.sum("latency_ms"), 6).alias("per_second"))

@@ -322,7 +322,7 @@ def training_page(rng: np.random.Generator) -> tuple[str, list[int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(pages: int = 1600, steps: int = 700, seed: int = 17) -> Labeller:
+def trained(pages: int = 3000, steps: int = 1500, seed: int = 17) -> Labeller:
     """The labeller; the same weights in every run."""
     rng = np.random.default_rng(seed)
     made = [(blocks(p), y) for p, y in (training_page(rng) for _ in range(pages))]

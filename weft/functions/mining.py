@@ -43,9 +43,9 @@ def substrings(df: DataFrame, text: str, shortest: int, longest: int) -> DataFra
     return df.select(F.col(text).alias("t")).select("t", n).where("length(t) >= n").select("n", pos.alias("p"), "t").select(F.expr("substring(t, p, n)").alias("pattern"), "n")
 
 
-@query("agg_substring_candidates", "SELECT pattern, count(*) AS frequency, (length(pattern) - 2) * count(*) AS saved FROM (SELECT substr(t, p, n) AS pattern FROM (SELECT t, n, unnest(range(1, length(t) - n + 2)) AS p FROM (SELECT substr(text, 1, 150) AS t, unnest(range(8, 13)) AS n FROM benchmark) WHERE length(t) >= n)) GROUP BY pattern HAVING count(*) >= 3 ORDER BY saved DESC, pattern LIMIT 1000")
+@query("agg_substring_candidates", "SELECT pattern, count(*) AS frequency, (length(pattern) - 2) * count(*) AS saved FROM (SELECT substr(t, p, n) AS pattern FROM (SELECT t, n, unnest(range(1, length(t) - n + 2)) AS p FROM (SELECT text AS t, unnest(range(8, 50)) AS n FROM benchmark) WHERE length(t) >= n)) GROUP BY pattern HAVING count(*) >= 3 ORDER BY saved DESC, pattern LIMIT 1000")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = substrings(read(spark, d, "benchmark").select(F.left("text", F.lit(150)).alias("text")), "text", 8, 12).groupBy("pattern").agg(F.count("*").alias("frequency"))
+    s = substrings(read(spark, d, "benchmark"), "text", 8, 49).groupBy("pattern").agg(F.count("*").alias("frequency"))
     s = s.where("frequency >= 3").withColumn("saved", (F.length("pattern") - 2) * F.col("frequency"))
     return s.orderBy(F.desc("saved"), "pattern").limit(1000)
 
@@ -65,13 +65,13 @@ def without_contained(ranked: DataFrame, most: int = 200) -> DataFrame:
 
 @query("agg_mined_patterns")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = substrings(read(spark, d, "benchmark"), "text", 8, 10).groupBy("pattern").agg(F.count("*").alias("frequency")).where("frequency >= 3")
+    s = substrings(read(spark, d, "benchmark"), "text", 8, 49).groupBy("pattern").agg(F.count("*").alias("frequency")).where("frequency >= 3")
     return without_contained(s.withColumn("saved", (F.length("pattern") - 2) * F.col("frequency")).orderBy(F.desc("saved"), "pattern").limit(1000))
 
 
-@query("agg_repeated_substrings", "SELECT item_id, count(*) AS n FROM (SELECT item_id, s FROM (SELECT item_id, substr(t, p, n) AS s FROM (SELECT item_id, t, n, unnest(range(1, length(t) - n + 2)) AS p FROM (SELECT item_id, substr(text, 1, 150) AS t, unnest(range(4, 8)) AS n FROM benchmark) WHERE length(t) >= n)) GROUP BY item_id, s HAVING count(*) >= 2) GROUP BY item_id")
+@query("agg_repeated_substrings", "SELECT item_id, count(*) AS n FROM (SELECT item_id, s FROM (SELECT item_id, substr(t, p, n) AS s FROM (SELECT item_id, t, n, unnest(range(1, length(t) - n + 2)) AS p FROM (SELECT item_id, text AS t, unnest(range(4, 21)) AS n FROM benchmark) WHERE length(t) >= n)) GROUP BY item_id, s HAVING count(*) >= 2) GROUP BY item_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "benchmark").select("item_id", F.left("text", F.lit(150)).alias("t")).withColumn("n", F.explode(F.sequence(F.lit(4), F.lit(7)))).where("length(t) >= n")
+    t = read(spark, d, "benchmark").select("item_id", F.col("text").alias("t")).withColumn("n", F.explode(F.sequence(F.lit(4), F.lit(20)))).where("length(t) >= n")
     s = t.withColumn("p", F.explode(F.expr("sequence(1, length(t) - n + 1)"))).select("item_id", F.expr("substring(t, p, n)").alias("s"))
     return s.groupBy("item_id", "s").count().where("count >= 2").groupBy("item_id").agg(F.count("*").alias("n"))
 
@@ -178,23 +178,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", both("text").alias("text"))
 
 
-@query("str_delta_apply", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v FROM part WHERE p_partkey % 5 <> 0")
+@query("str_delta_apply", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v FROM part WHERE p_size < 40")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A template map, after the delta between it and the wanted one."""
     from weft.operators.joins import map_diff
 
     p = read(spark, d, "part")
-    old = p.where("p_partkey % 3 <> 0").selectExpr("p_partkey", "p_brand AS v")
-    new = p.where("p_partkey % 5 <> 0").selectExpr("p_partkey", "CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v")
+    old = p.where("p_size > 15").selectExpr("p_partkey", "p_brand AS v")
+    new = p.where("p_size < 40").selectExpr("p_partkey", "CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v")
     j = old.join(map_diff(old, new, "p_partkey", "v"), "p_partkey", "full_outer")
     return j.where("action IS NULL OR action <> 'remove'").select("p_partkey", F.coalesce("new", "v").alias("v"))
 
 
-@query("udf_custom_templates", "SELECT p_partkey, p_brand FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT 1000000 + range, 'custom' FROM range(5)")
+@query("udf_custom_templates", "SELECT p_partkey, p_brand FROM part WHERE p_size <> 7 UNION ALL SELECT 1000000 + range, 'custom' FROM range(5)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", "p_brand")
     added = spark.range(5).select((F.col("id") + 1_000_000).alias("p_partkey"), F.lit("custom").alias("p_brand"))
-    return p.join(p.where("p_partkey % 7 = 0").select("p_partkey"), "p_partkey", "left_anti").unionByName(added)
+    return p.join(read(spark, d, "part").where("p_size = 7").select("p_partkey"), "p_partkey", "left_anti").unionByName(added)
 
 
 @query("agg_container_stats", "SELECT coalesce(method, 'none') AS method, count(*) AS chunks, count(DISTINCT user_id) AS templates, CAST(sum(compressed_size) AS BIGINT) AS payload, round(stddev_samp(original_size / compressed_size), 6) AS spread FROM audit GROUP BY 1")

@@ -104,9 +104,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flt_structured", f"""SELECT conv_id, turn, length(t) >= 10 AND
  (len(list_filter(['{{', '}}', '[', ']', '"', ':', ','], lambda c: contains(t, c))) / 7.0::DOUBLE) * 0.4 + (len(list_filter(['<', '>', '/', '=', '"'], lambda c: contains(t, c))) / 5.0::DOUBLE) * 0.3
- + (CASE WHEN regexp_matches(t, '\\w+\\s*=\\s*\\w+') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(t, '\\w+\\s*:\\s*\\w+') THEN 0.5 ELSE 0 END) * 0.2 + CASE WHEN turn % 8 = 5 THEN 0.08 ELSE 0 END > 0.3 AS structured FROM {TEXTS} WHERE turn % 8 <> 0 AND turn % 8 <> 1""")
+ + (CASE WHEN regexp_matches(t, '\\w+\\s*=\\s*\\w+') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(t, '\\w+\\s*:\\s*\\w+') THEN 0.5 ELSE 0 END) * 0.2 + CASE WHEN contains(t, ',') AND contains(t, chr(10)) AND len(list_distinct(commas)) = 1 AND commas[1] > 0 THEN 0.08 ELSE 0 END > 0.3 AS structured
+ FROM (SELECT *, list_transform(list_filter(string_split(t, chr(10))[1:5], lambda x: trim(x) <> ''), lambda x: length(x) - length(replace(x, ',', ''))) AS commas FROM {TEXTS})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).where("turn % 8 NOT IN (0, 1)").select("conv_id", "turn", looks_structured(F.col("t")).alias("structured"))
+    return _texts(spark, d).select("conv_id", "turn", looks_structured(F.col("t")).alias("structured"))
 
 
 @query("fn_parse_call", f"SELECT conv_id, turn, 'get_status' AS function, 10 AS id, 'status_service' AS hint FROM {TEXTS} WHERE contains(t, 'get_status(')")
@@ -114,9 +115,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("conv_id", "turn", parse_call(F.col("t")).alias("c")).where("c IS NOT NULL").select("conv_id", "turn", "c.*")
 
 
-@query("fn_parameters", f"SELECT conv_id, turn, 'slow' AS mode, '\"x y\"' AS name, 'x y' AS param_0 FROM {TEXTS} WHERE turn % 8 > 5")
+@query("fn_parameters", rf"""SELECT conv_id, turn, trim(list_filter(named, lambda z: z[1] = 'mode')[-1][2]) AS mode, trim(list_filter(named, lambda z: z[1] = 'name')[-1][2]) AS name, quoted[1] AS param_0
+ FROM (SELECT conv_id, turn, regexp_extract_all(t, '"([^"]*)"', 1) AS quoted, list_zip(regexp_extract_all(t, '(\w+):\s*([^,;.\n]+)', 1), regexp_extract_all(t, '(\w+):\s*([^,;.\n]+)', 2)) AS named FROM {TEXTS})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _texts(spark, d).where("turn % 8 > 5").select("conv_id", "turn", parameters(F.col("t")).alias("p"))
+    p = _texts(spark, d).select("conv_id", "turn", parameters(F.col("t")).alias("p"))
     return p.select("conv_id", "turn", *[F.col("p")[k].alias(k) for k in ("mode", "name", "param_0")])
 
 

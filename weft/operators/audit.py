@@ -123,10 +123,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("session_id").agg(F.bool_and(F.col("rn") - 1 == F.col("seq")).alias("continuous"))
 
 
-@query("flt_recent_unprocessed", "SELECT id FROM audit WHERE ts >= (SELECT max(ts) FROM audit) - INTERVAL 24 HOUR AND props <> '' AND id % 3 <> 0")
+@query("flt_recent_unprocessed", "SELECT id FROM audit WHERE ts >= (SELECT max(ts) FROM audit) - INTERVAL 24 HOUR AND props <> '' AND event_type <> 'click'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "audit")
-    seen = a.where("id % 3 = 0").select("id")
+    seen = a.where("event_type = 'click'").select("id")
     return a.join(a.agg(F.max("ts").alias("last")), F.expr("ts >= last - INTERVAL 24 HOURS")).where("props <> ''").join(seen, "id", "left_anti").select("id")
 
 

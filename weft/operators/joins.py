@@ -46,17 +46,17 @@ def map_diff(current: DataFrame, desired: DataFrame, key: str, value: str) -> Da
     return j.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, action.alias("action"), "new")
 
 
-@query("join_map_diff", "SELECT p_partkey, CASE WHEN n.v IS NULL THEN 'remove' WHEN o.v IS NULL THEN 'add' ELSE 'update' END AS action, n.v AS new FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_partkey % 3 <> 0) o FULL JOIN (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v FROM part WHERE p_partkey % 5 <> 0) n USING (p_partkey) WHERE o.v IS DISTINCT FROM n.v")
+@query("join_map_diff", "SELECT p_partkey, CASE WHEN n.v IS NULL THEN 'remove' WHEN o.v IS NULL THEN 'add' ELSE 'update' END AS action, n.v AS new FROM (SELECT p_partkey, p_brand AS v FROM part WHERE p_size > 15) o FULL JOIN (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v FROM part WHERE p_size < 40) n USING (p_partkey) WHERE o.v IS DISTINCT FROM n.v")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
-    return map_diff(p.where("p_partkey % 3 <> 0").selectExpr("p_partkey", "p_brand AS v"), p.where("p_partkey % 5 <> 0").selectExpr("p_partkey", "CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v"), "p_partkey", "v")
+    return map_diff(p.where("p_size > 15").selectExpr("p_partkey", "p_brand AS v"), p.where("p_size < 40").selectExpr("p_partkey", "CASE WHEN p_size > 25 THEN p_brand ELSE p_type END AS v"), "p_partkey", "v")
 
 
-@query("join_append_only", "SELECT n.p_partkey, n.p_name FROM part n WHERE n.p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_partkey = n.p_partkey AND o.p_partkey % 3 = 0)")
+@query("join_append_only", "SELECT n.p_partkey, n.p_name FROM part n WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_partkey = n.p_partkey AND o.p_size > 15)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select("p_partkey", "p_name")
-    have = p.where("p_partkey % 3 = 0").withColumnRenamed("p_name", "have")
-    j = p.where("p_partkey % 2 = 0").join(have, "p_partkey", "left")
+    p = read(spark, d, "part")
+    have = p.where("p_size > 15").select("p_partkey", F.col("p_name").alias("have"))
+    j = p.join(have, "p_partkey", "left")
     return j.where(F.col("have").isNull() | F.when(F.col("have") != F.col("p_name"), F.raise_error(F.lit("one id, two patterns"))).otherwise(F.lit(False)).cast("boolean")).select("p_partkey", "p_name")
 
 

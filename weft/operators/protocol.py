@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.operators.windows import numbered
 from weft.registry import query, read
 
 # Operations that need the whole message.
@@ -177,10 +178,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(F.explode(keys(body)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("win_replay_log", "SELECT row_number() OVER (ORDER BY CASE kind WHEN 'compression_failure' THEN 1 ELSE 0 END, id) - 1 AS sequence, id, sha256(props) AS payload_sha256 FROM audit WHERE id < 500")
+@query("win_replay_log", "SELECT row_number() OVER (ORDER BY CASE kind WHEN 'compression_failure' THEN 1 ELSE 0 END, id) - 1 AS sequence, id, sha256(props) AS payload_sha256 FROM audit")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.orderBy(F.when(F.col("kind") == "compression_failure", 1).otherwise(0), "id")
-    return read(spark, d, "audit").where("id < 500").select((F.row_number().over(order) - 1).alias("sequence"), "id", F.sha2("props", 256).alias("payload_sha256"))
+    a = read(spark, d, "audit").withColumns({"late": (F.col("kind") == "compression_failure").cast("int"), "block": F.expr("id div 65536")})
+    return numbered(a, ["late", "block"], ["id"], "sequence").select("sequence", "id", F.sha2("props", 256).alias("payload_sha256"))
 
 
 def lru(df: DataFrame, key: str, order: str, item: str, size: int) -> DataFrame:
@@ -200,12 +201,12 @@ def lru(df: DataFrame, key: str, order: str, item: str, size: int) -> DataFrame:
     return cols.groupBy(key).applyInPandas(run, cols.select(key, order).schema.add("hit", "boolean"))
 
 
-@query("win_lru_hits", "SELECT session_id, id, coalesce((SELECT count(DISTINCT b.user_id) FROM audit b WHERE b.session_id = a.session_id AND b.id < a.id AND b.id > p.last) < 3, false) AS hit FROM audit a LEFT JOIN (SELECT x.id AS at, max(y.id) AS last FROM audit x JOIN audit y ON x.session_id = y.session_id AND x.user_id = y.user_id AND y.id < x.id GROUP BY x.id) p ON p.at = a.id WHERE a.id < 3000 AND p.last IS NOT NULL")
+@query("win_lru_hits", "SELECT session_id, id, coalesce((SELECT count(DISTINCT b.user_id) FROM audit b WHERE b.session_id = a.session_id AND b.id < a.id AND b.id > p.last) < 3, false) AS hit FROM audit a LEFT JOIN (SELECT x.id AS at, max(y.id) AS last FROM audit x JOIN audit y ON x.session_id = y.session_id AND x.user_id = y.user_id AND y.id < x.id GROUP BY x.id) p ON p.at = a.id WHERE p.last IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "audit")
     got = lru(a, "session_id", "id", "user_id", 3)
     first = a.groupBy("session_id", "user_id").agg(F.min("id").alias("id"))
-    return got.where("id < 3000").join(first, ["session_id", "id"], "left_anti").select("session_id", "id", "hit")
+    return got.join(first, ["session_id", "id"], "left_anti").select("session_id", "id", "hit")
 
 
 @query("str_resume_negotiation", "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN 'fresh' WHEN max(event_id) FILTER (event_type = 'view') % 2 = 0 THEN 'resumed' ELSE 'unknown_state' END AS answer FROM events GROUP BY user_id")

@@ -33,9 +33,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return p.where("p_brand < 'Brand#3'").unionByName(p.where("p_brand >= 'Brand#3'")).distinct().groupBy("p_brand").agg(F.count("*").alias("patterns"))
 
 
-@query("set_dedup_terms", "SELECT DISTINCT role, substr(text, 1, 10) AS head FROM msgs")
+@query("set_dedup_terms", "SELECT DISTINCT role, text FROM msgs")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "msgs").select("role", F.substring("text", 1, 10).alias("head")).distinct()
+    return read(spark, d, "msgs").select("role", "text").distinct()
 
 
 @query("srt_argmax_score", "SELECT run, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS best FROM (SELECT run, request_bytes % 7 AS a, response_bytes % 5 AS b, exchanges % 6 AS c FROM runs)")

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from weft.registry import query, read
 
 
+def numbered(df: DataFrame, bins: list[str], order: list[str], name: str) -> DataFrame:
+    """Positions from 0 in the order of bins, then order.  Rows are ordered within their bin only; bins are
+    counted first and take their offsets from a running sum over those counts."""
+    offset = F.sum("n").over(Window.orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1))
+    before = df.groupBy(*bins).agg(F.count("*").alias("n")).select(*bins, F.coalesce(offset, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*bins).orderBy(*order)) - 1
+    return df.withColumn(name, place).join(before, bins).withColumn(name, F.col(name) + F.col("before")).drop("before")
+
+
 @query("win_epoch_direction", "SELECT conv_id, turn, rn // 2 AS exchange, CASE WHEN rn % 2 = 0 THEN 'client_to_server' ELSE 'server_to_client' END AS direction, CASE WHEN rn // 2 < 2 THEN 0 ELSE 1 END AS epoch FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM msgs)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1

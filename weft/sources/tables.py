@@ -80,9 +80,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").orderBy(F.desc("latency_ms"), "id").limit(64).select("id", "session_id")
 
 
-@query("src_store_scan", "SELECT p_brand AS scope, p_partkey AS template_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part WHERE p_brand LIKE 'Brand#1%'")
+@query("src_store_scan", "SELECT p_brand AS scope, p_partkey AS template_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_brand LIKE 'Brand#1%'").select(F.col("p_brand").alias("scope"), F.col("p_partkey").alias("template_id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("rank"))
+    return read(spark, d, "part").select(F.col("p_brand").alias("scope"), F.col("p_partkey").alias("template_id"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("rank"))
 
 
 @query("src_bursty", "SELECT range AS idx, CASE WHEN range % 16 = 0 THEN 'large' WHEN range % 4 = 0 THEN 'medium' ELSE 'small' END AS size_class FROM range(1024)")

@@ -1,10 +1,10 @@
 """All queries of the library with their oracle SQL."""
 
-from weft.functions import codecs, documents, frames, mining, scoring, text
+from weft.functions import codecs, documents, frames, mining, phrases, scoring, text
 from weft.operators import aggregates, audit, joins, protocol, sets, templates, windows
 from weft.plans import metrics, rollups
 from weft.registry import QUERIES, SQL
 from weft.sources import tables
 from weft.streaming import sessions
 
-__all__ = ["QUERIES", "SQL", "aggregates", "audit", "codecs", "documents", "frames", "joins", "metrics", "mining", "protocol", "rollups", "scoring", "sessions", "sets", "tables", "templates", "text", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "audit", "codecs", "documents", "frames", "joins", "metrics", "mining", "phrases", "protocol", "rollups", "scoring", "sessions", "sets", "tables", "templates", "text", "windows"]

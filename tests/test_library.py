@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft import catalog
-from weft.functions import codecs
+from weft.functions import codecs, phrases
 from weft.operators.audit import build_chain, verify_chain
-from weft.operators.windows import least_loaded
+from weft.operators import supplement
+from weft.operators.windows import least_loaded, numbered
 from weft.sources import tables
 from weft.streaming import sessions
 
@@ -116,6 +117,63 @@ def test_workers_are_levelled(spark):
     assert [r["worker"] for r in least_loaded(df, "key", "i", "size", 2).orderBy("i").collect()] == [0, 1, 1, 1, 0]
 
 
+def test_numbered_spans_bins(spark):
+    df = spark.createDataFrame([(k,) for k in range(300)], "id long").withColumn("b", F.expr("id div 7"))
+    assert [r["k"] for r in numbered(df, ["b"], ["id"], "k").orderBy("id").collect()] == list(range(300))
+    assert numbered(df.limit(0), ["b"], ["id"], "k").collect() == []
+
+
+@pytest.mark.parametrize("text", ["", "a", "session resume accepted again", "ééé session é", "abababababab session abababababab", "x" * 700])
+def test_phrase_frames_round_trip(text):
+    book = phrases.PhraseBook(["session", "session resume", "again", "é"])
+    assert phrases.runs_decode(phrases.runs_encode(text, book), book, {}) == text
+    assert phrases.references_decode(phrases.references_encode(text, book), book) == text
+    assert phrases.one_shot_text(phrases.one_shot(text)) == text
+
+
+def test_phrases_are_longest_and_spans_are_templates():
+    book = phrases.PhraseBook(["session", "session resume", "again"])
+    assert book.longest("a session resume", 2) == "session resume" and book.longest("a session") is None
+    text = "hello Ann, session again"
+    frame = phrases.runs_encode(text, book, [(0, 10, 3, ["Ann"]), (6, 12, 4, ["over"])])
+    assert phrases.runs_walk(frame)[0] == (phrases.TEMPLATE, 3, ["Ann"])
+    assert phrases.runs_decode(frame, book, {3: "hello {0},"}) == text
+    with pytest.raises(ValueError):
+        phrases.runs_walk(frame[:-2] + b"\x09")
+
+
+def test_fuzzy_record(spark):
+    df = spark.createDataFrame([("status of job 17",), ("zzz",), (None,)], "t string")
+    got = [r["match"] for r in phrases.fuzzy_record(df, "t", ["weather in rome", "status of job 11"]).collect()]
+    assert got[0]["pattern"] == "status of job 11" and got[0]["distance"] == 1 and got[0]["differences"] == 1
+    assert got[1] is None and got[2] is None
+
+
+def test_id_range_can_be_exhausted(spark):
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    used = spark.createDataFrame([(10,), (12,)], "template_id long")
+    assert {r["key"]: r["template_id"] for r in supplement.allocate(wanted, used, "key", 10, 15).collect()} == {"a": 11, "b": 13, "c": 14}
+    with pytest.raises(Exception, match="no free id"):
+        supplement.allocate(wanted, used, "key", 10, 14).collect()
+
+
+@pytest.mark.parametrize(("text", "is_object"), [("{}", True), ('{"a": [1]}', True), ("{}}", False), ("{},{}", False), ("[{}]", False), ("1", False), ("", False), (None, False)])
+def test_json_objects(spark, text, is_object):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert bool(df.select(supplement.is_json_object(F.col("t"))).first()[0]) is is_object
+
+
+def test_replay_log(spark, tmp_path):
+    path = str(tmp_path / "replay")
+    rows = [(k, "result", json.dumps({"b": k, "a": "é"})) for k in range(6)]
+    supplement.write_replay(spark.createDataFrame(rows, "sequence long, record_type string, payload string"), path)
+    got = supplement.read_replay(spark, path).orderBy("sequence").collect()
+    assert [(r["sequence"], json.loads(r["payload"])) for r in got] == [(k, json.loads(p)) for k, _, p in rows]
+    (tmp_path / "forged").write_text('\n{"payload":{"a":1},"payload_sha256":"00","record_type":"result","sequence":0}\n')
+    with pytest.raises(Exception, match="bad replay record"):
+        supplement.read_replay(spark, str(tmp_path / "forged")).collect()
+
+
 def test_log_source_skips_corrupt_lines(spark, tmp_path):
     path = str(tmp_path / "log")
     tables.append_log(spark.createDataFrame([(k, "ai_output", f"s{k % 2}", None, f"t{k}") for k in range(10)], "seq long, log_type string, session_id string, user_id string, plaintext string"), path)
@@ -128,6 +186,11 @@ def test_log_source_skips_corrupt_lines(spark, tmp_path):
 def test_container_and_chunks(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(tables.write_container([("{}", b"abc"), ('{"m":1}', b"")]))
     assert [(r["idx"], r["meta"], r["payload_bytes"]) for r in tables.inspect(spark, str(tmp_path / "c.bin")).collect()] == [(0, "{}", 3), (1, '{"m":1}', 0)]
+    restored = tables.restore(spark, str(tmp_path / "c.bin")).orderBy("idx").collect()
+    assert [bytes(r["payload"]) for r in restored] == [b"abc", b""]
+    (tmp_path / "cut.bin").write_bytes(tables.write_container([("{}", b"abc")])[:-1])
+    with pytest.raises(Exception, match="container is cut"):
+        tables.restore(spark, str(tmp_path / "cut.bin")).collect()
     parts = tables.chunks(spark, str(tmp_path / "c.bin"), 7).orderBy("idx").collect()
     assert b"".join(bytes(r["chunk"]) for r in parts) == (tmp_path / "c.bin").read_bytes()
 
@@ -148,3 +211,36 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["id"] for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_store_sync_and_learning(spark, tmp_path):
+    src, store, learnt, sink = (str(tmp_path / x) for x in ("in", "store", "learnt", "sink"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "template_id long, pattern string").write.parquet(store)
+    schema = "id long, template_id long, method string, ratio double"
+    for k, rows in enumerate(([(1, 1, "zlib", 2.0), (2, 3, "zlib", 4.0)], [(3, 3, "zlib", 6.0), (4, 2, "raw", 1.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = sessions.with_store(stream, store, sink, str(tmp_path / "cp1")).start()
+        q.processAllAvailable()
+        q.stop()
+        q = sessions.learn(stream, learnt, str(tmp_path / "cp2")).start()
+        q.processAllAvailable()
+        q.stop()
+        if k == 0:
+            spark.createDataFrame([(3, "c")], "template_id long, pattern string").write.mode("append").parquet(store)
+    assert sorted((r["id"], r["pattern"]) for r in spark.read.parquet(sink).collect()) == [(1, "a"), (2, None), (3, "c"), (4, "b")]
+    assert sorted((r["method"], r["n"], r["mean_ratio"]) for r in sessions.learnt(spark, learnt).collect()) == [("raw", 1, 1.0), ("zlib", 3, 4.0)]
+
+
+def test_concurrent_sessions(spark, tmp_path):
+    """Sessions whose messages arrive mixed keep a state each."""
+    rows = [(f"s{i % 5}", i // 5 + 1, f"k{i}", str(i)) for i in range(40)]
+    src = str(tmp_path / "in")
+    for part in range(4):
+        spark.createDataFrame(rows[part * 10 : part * 10 + 10], "session string, epoch long, key string, value string").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("session string, epoch long, key string, value string").parquet(src)
+    q = sessions.apply_diffs(stream).writeStream.format("memory").queryName("mixed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("mixed").collect()
+    assert len(got) == 40 and {r["answer"] for r in got} == {"accepted"}

@@ -69,6 +69,31 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, idx int, meta string, payload_bytes long")
 
 
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """(path, idx, meta, payload) of containers. Fewer chunks than the header says, a cut chunk or bytes after the
+    last one are errors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, content in zip(b["path"], b["content"], strict=True):
+                if content[:4] != MAGIC:
+                    raise ValueError(f"no container: {p}")
+                at, count = 8, struct.unpack(">I", content[4:8])[0]
+                for k in range(count):
+                    if at + 8 > len(content):
+                        raise ValueError(f"container is cut: {p}")
+                    m, n = struct.unpack(">II", content[at : at + 8])
+                    if at + 8 + m + n > len(content):
+                        raise ValueError(f"container is cut: {p}")
+                    body = at + 8 + m
+                    yield pd.DataFrame([(p, k, content[at + 8 : body].decode(), content[body : body + n])], columns=["path", "idx", "meta", "payload"])
+                    at = body + n
+                if at != len(content):
+                    raise ValueError(f"container is longer than its chunks: {p}")
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, idx int, meta string, payload binary")
+
+
 @query("src_upsert", "SELECT user_id, max_by(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("user_id", "event_type", "ts")

@@ -41,6 +41,33 @@ def apply_diffs(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session").applyInPandasWithState(run, "session string, epoch long, answer string, at_epoch long", "epoch long, known string", "append", GroupStateTimeout.NoTimeout)
 
 
+def with_store(stream: DataFrame, store: str, sink: str, checkpoint: str):  # noqa: ANN201
+    """Rows with the pattern of their template_id. The store is read anew for every batch, so what was added or
+    retired in between counts; a batch that is run again overwrites its own folder."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        known = batch.sparkSession.read.parquet(store).groupBy("template_id").agg(F.max("pattern").alias("pattern"))
+        batch.join(known, "template_id", "left").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def learn(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+    """Counts and sums of ratio per method, one small folder a batch, so that running a batch twice counts once."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        g = batch.groupBy("method").agg(F.count("ratio").alias("n"), F.sum("ratio").alias("total"))
+        g.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def learnt(spark: SparkSession, path: str) -> DataFrame:
+    """method, n and mean_ratio over all batches."""
+    g = spark.read.parquet(path).groupBy("method").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return g.select("method", "n", F.try_divide("total", "n").alias("mean_ratio"))
+
+
 @query("str_once_per_key", "SELECT count(DISTINCT user_id) AS n FROM events")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").dropDuplicates(["user_id"]).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import html as pages
 from weft.llm.chat import conversations, link_quotes
-from weft.llm.mixing import mix
+from weft.llm.mixing import mix, with_source
 from weft.llm.packing import length_class, optimal_bounds, pack
 from weft.llm.quality import quality
 from weft.llm.queries import OP10_SQL
@@ -201,3 +201,12 @@ def test_quotes(spark):
     order = [m["turn"] for m in conversations(df).where("conv_id = 1").collect()[0]["messages"]]
     assert order == [0, 1, 3, 4, 5, 5, 2, 6]
     assert link_quotes(df.limit(0)).count() == 0
+
+
+def test_source_joins_agree(spark):
+    """Shipped and salted joins give the same rows."""
+    rows = spark.createDataFrame([(k % 7 or None, f"s{k % 3}") for k in range(50)], "doc_id long, key string")
+    of = spark.createDataFrame([("s0", 1.0), ("s1", 2.0)], "key string, x double")
+    for how in ("inner", "left"):
+        a, b = (sorted(map(repr, with_source(rows, of, how, n).select("doc_id", "key", "x").collect())) for n in (1 << 20, 0))
+        assert a == b and len(a) == (34 if how == "inner" else 50)

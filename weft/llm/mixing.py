@@ -23,6 +23,8 @@ from weft.llm.exchange import checkpoint
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 14
+# Up to so many bytes of source names and figures are shipped to every task; beyond, sources are joined by salted keys.
+SHIPPED_BYTES, SALTS = 8 << 20, 64
 
 
 def word_count(column: str):  # noqa: ANN201
@@ -58,6 +60,15 @@ def source_key():  # noqa: ANN201
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
 
 
+def with_source(rows: DataFrame, of: DataFrame, how: str = "inner", shipped_bytes: int = SHIPPED_BYTES) -> DataFrame:
+    """rows with the columns that of holds for their key, without gathering the rows of a hot source in one task."""
+    size = of.agg(F.sum(F.octet_length("key").cast("long") + 128)).first()[0] or 0
+    if size <= shipped_bytes:
+        return rows.join(F.broadcast(of), "key", how)
+    salted = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], how).drop("salt")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (= copies * size), per row of docs."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
@@ -65,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = checkpoint(targets(rows.select("source", "size"), weights, most))
     share = goal.withColumn("r", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     share = share.withColumn("whole", F.floor("r")).withColumn("p", F.col("r") - F.floor("r")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    rows = rows.withColumn("key", source_key()).join(share, "key")
+    rows = with_source(rows.withColumn("key", source_key()), share)
     rank = F.when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))).otherwise(F.lit(float("inf")))
     ranked = rows.withColumn("rank", rank).withColumn("bin", F.floor(F.col("u") * BINS))
     sums = ranked.where("p > 0").groupBy("key", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
@@ -73,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = sums.withColumn("upto", F.sum("words").over(run)).where("upto >= missing")
     edge = sums.groupBy("key").agg(F.min(F.struct("bin", "upto", "words")).alias("e")).select("key", F.col("e.bin").alias("edge"), (F.col("e.upto") - F.col("e.words")).alias("before"))
     edge = checkpoint(edge)
-    at = ranked.join(edge, "key", "left")
+    at = with_source(ranked, edge, "left")
     last = at.where("bin = edge").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("key").orderBy("rank", "doc_id")))
     last = last.groupBy("key", "doc_id").agg(F.max("upto").alias("upto"), F.max("size").alias("one"))
     at = at.join(last, ["key", "doc_id"], "left")
@@ -81,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = at.withColumn("picked", picked.otherwise(F.coalesce(2 * F.col("upto") - F.col("size") <= 2 * F.col("missing"), F.lit(False))))
     at = checkpoint(at.select("doc_id", "source", "key", "size", "source_size", "target", "whole", "p", "rank", "missing", "picked"))
     gap = at.where("p > 0").groupBy("key").agg((F.first("missing") - F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0))).alias("gap"))
-    could = at.where("p > 0 AND size > 0").join(gap, "key").withColumn("change", F.when(F.col("picked"), -F.col("size")).otherwise(F.col("size")))
+    could = with_source(at.where("p > 0 AND size > 0"), checkpoint(gap)).withColumn("change", F.when(F.col("picked"), -F.col("size")).otherwise(F.col("size")))
     swap = could.where("abs(gap - change) < abs(gap)").groupBy("key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("change")).alias("off"), "rank", "doc_id")).alias("s")).select("key", F.col("s.doc_id").alias("doc_id"), F.lit(True).alias("flip"))
     done = at.join(swap, ["key", "doc_id"], "left")
     copies = (F.col("whole") + (F.col("picked") != F.coalesce("flip", F.lit(False))).cast("int")).cast("int")

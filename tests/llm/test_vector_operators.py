@@ -1,5 +1,6 @@
 import numpy as np
 
+from weft.llm import binary_codes
 from weft.llm.binary_codes import codes, near_duplicates, rotations, upper_bounds
 from weft.llm.cross_polytope import hadamard, nearest
 
@@ -36,6 +37,28 @@ def test_near_duplicates_against_brute_force(spark):
         assert r["component_id"] <= r["vec_id"]
 
 
+def test_near_duplicates_miss_nothing(spark):
+    x = vectors(6, 2600)
+    true = cosines(x) >= 0.9
+    links = true.sum(axis=1) - 1
+    for bits in (None, 12):
+        got = sorted(near_duplicates(frame(spark, x), bits=bits).collect())
+        assert [r["n_links"] for r in got] == links.tolist()
+
+
+def test_pairs_meet_at_any_number_of_bits():
+    rng = np.random.default_rng(7)
+    x, y = np.linalg.qr(rng.standard_normal((4000, 64, 2)))[0].transpose(2, 0, 1)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y
+    for n in (100_000, 1_000_000, 10_000_000, 100_000_000):
+        bits = binary_codes.bits_for(n)
+        tables = binary_codes.tables_for(bits, 0.9)
+        assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= binary_codes.MISS
+        turn = rotations(64, -(-tables * bits // 64))
+        meets = binary_codes.table_keys(x, turn, tables, bits) == binary_codes.table_keys(y, turn, tables, bits)
+        assert meets.any(axis=1).all()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 64))

@@ -6,13 +6,12 @@ inner product f = <o', o> is stored with the code as its correction factor.  For
 but with negligible probability.  Only pairs whose upper confidence bound reaches the threshold are computed
 exactly, in double precision, from the vectors themselves.
 
-Pairs to estimate come from tables keyed by some bits of such codes.  There are about PER_BUCKET vectors to
-a bucket at any size, as the number of bits follows the number of vectors.  Equal vectors are one class with
-a weight.  Buckets of over BLOCK vectors are split into blocks, and every pair of blocks is a cell of its
-own.  A pair that meets in several tables counts in the first.
-
-Two vectors at the threshold 0.9 meet in one of 24 tables with a probability of about 0.98 at 12 bits, and
-those at 0.95 or more with over 0.999; no pair below the threshold is ever linked.
+Up to EXACT vectors all pairs are estimated.  Beyond, pairs to estimate come from tables keyed by some bits of
+such codes.  There are about PER_BUCKET vectors to a bucket at any size, as the number of bits follows the
+number of vectors, and the number of tables follows the bits: two vectors at the threshold meet in no table
+with a probability of at most MISS at every size, those closer with a smaller one.  Equal vectors are one
+class with a weight.  Buckets of over BLOCK vectors are split into blocks, and every pair of blocks is a cell
+of its own.  A pair that meets in several tables counts in the first.  No pair below the threshold is linked.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from weft.llm.exchange import checkpoint
 from weft.llm.graph import components
 from weft.llm.vectors import matrix, sorted_runs, unit, usable
 
-SIGMAS, BLOCK, PER_BUCKET = 6.0, 1024, 12
+SIGMAS, BLOCK, EXACT, PER_BUCKET, MISS = 6.0, 1024, 65_536, 512, 1e-6
 
 
 def rotations(d: int, count: int, seed: int = 11) -> np.ndarray:
@@ -37,9 +36,23 @@ def rotations(d: int, count: int, seed: int = 11) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(count)], axis=1)
 
 
+def tables_for(bits: int, threshold: float) -> int:
+    """Number of tables in which two vectors at the threshold meet at least once but with probability MISS."""
+    meet = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return 1 if meet >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
+
+
+def bits_for(n: int) -> int:
+    return 0 if n <= EXACT else min(28, round(np.log2(n / PER_BUCKET)))
+
+
 def table_keys(x: np.ndarray, turn: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    b = ((x @ turn)[:, : tables * bits] > 0).reshape(len(x), tables, bits)
-    return b @ (1 << np.arange(bits, dtype=np.int64))
+    keys = np.empty((len(x), tables), np.int64)
+    for lo in range(0, len(x), 1024):
+        part = x[lo : lo + 1024]
+        b = ((part @ turn)[:, : tables * bits] > 0).reshape(len(part), tables, bits)
+        keys[lo : lo + 1024] = b @ (1 << np.arange(bits, dtype=np.int64))
+    return keys
 
 
 def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +81,18 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, tables: int = 24) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, bits: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept, per row of vectors; links are cosines >= threshold.
 
+    The bits of a key follow the number of vectors unless they are given.
+
     Rows that take no part (see usable()) have no links and are kept as their own component; those of null
     id have a null component and are not kept.  Rows with equal ids and equal vectors are counted as links.
     """
     good, d, n = usable(vectors, id_col, vec_col)
-    bits = int(np.clip(round(np.log2(max(2, n / PER_BUCKET))), 4, 28))
-    turn = rotations(d, -(-tables * bits // d))
+    bits = bits_for(n) if bits is None else bits
+    tables = tables_for(bits, threshold)
+    turn = rotations(d, max(1, -(-tables * bits // d)))
     code = rotations(d, 1, 12)
     classes = good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m"))
 
@@ -100,13 +116,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             ids, m, key, mine = (np.asarray(t[c]) for c in ("id", "m", "key", "mine"))
             x = unit(matrix(t["v"], d))
             o, f = codes(x, code)
-            bound = upper_bounds(o, f, x)
-            i, j = np.nonzero(np.triu(np.maximum(bound, bound.T) >= threshold, 1))
-            across = mine.min() != mine.max()
-            ok = (key[i] == key[j]) & (~np.array(across) | (mine[i] != mine[j]))
-            i, j = i[ok], j[ok]
-            ok = (x[i] * x[j]).sum(axis=1) >= threshold
-            i, j = i[ok], j[ok]
+            one, other = np.flatnonzero(mine == mine.min()), np.flatnonzero(mine != mine.min())
+            across = len(other) > 0
+            pairs = []
+            for lo in range(0, len(one), 256):
+                r, c = one[lo : lo + 256], other if across else one[lo:]
+                i, j = np.nonzero((upper_bounds(o[r], f[r], x[c]) >= threshold) | (upper_bounds(o[c], f[c], x[r]).T >= threshold))
+                i, j = r[i], c[j]
+                ok = (key[i] == key[j]) & (across | (i < j))
+                i, j = i[ok], j[ok]
+                ok = (x[i] * x[j]).sum(axis=1) >= threshold
+                pairs.append((i[ok], j[ok]))
+            i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
             if not len(i):
                 continue
             keys = table_keys(x, turn, tables, bits)
@@ -123,7 +144,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             some = np.flatnonzero(count)
             yield pa.record_batch({"id": pa.array(ids[some]), "links": pa.array(count[some]), "star": pa.array(ids[low[some]])})
 
-    parts = max(8, -(-n * tables // 40_000))
+    whole = -(-n // BLOCK) if bits == 0 else 1
+    parts = max(8, -(-n * tables // 40_000), whole * (whole + 1) // 16)
     found = checkpoint(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(links, "id long, links long, star long"))
     comp = components(found.select(F.col("id").alias("a"), F.col("star").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))

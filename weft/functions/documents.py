@@ -75,6 +75,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "msgs").where("length(text) <= 600").select("conv_id", "turn", F.round(hit_rate(F.col("text")), 6).alias("rate"))
 
 
+@query("fn_hit_rate_sampled", """WITH p AS (SELECT conv_id, turn, text, length(text) AS n, least(300, greatest(60, length(text) // 10)) AS k FROM msgs),
+s AS (SELECT conv_id, turn, n, CASE WHEN n <= 600 THEN [text] ELSE [left(text, k), substr(text, n // 2 - k // 2 + 1, k), right(text, k)] END AS parts FROM p)
+SELECT conv_id, turn, CASE WHEN n < 10 THEN 0 ELSE round(least(1.0, list_sum(list_transform(parts, lambda x: length(x) - length(translate(x, '{}[]":,<>/=', '')))) / list_sum(list_transform(parts, lambda x: length(x))) * 0.7
+  + len(list_filter(['the ', ' and ', ' for ', ' that ', ' with ', 'data', 'message', 'error', 'request', 'response', 'status'], lambda w: len(list_filter(parts, lambda x: contains(lower(x), w))) > 0)) * 0.05 * 0.3), 6) END AS rate FROM s""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "msgs").select("conv_id", "turn", F.round(hit_rate(F.col("text")), 6).alias("rate"))
+
+
 @query("fn_method_ladder", "SELECT id, CASE WHEN s < 20 THEN 'uncompressed' WHEN id % 9 = 0 THEN 'semantic' WHEN s < 80 THEN CASE WHEN e < 4 THEN 'dictionary' ELSE 'uncompressed' END WHEN s < 400 THEN CASE WHEN e < 5.5 THEN 'dictionary' ELSE 'uncompressed' END WHEN s < 2048 THEN CASE WHEN h > 0.15 THEN 'dictionary' WHEN e < 6 THEN 'entropy' ELSE 'dictionary' END ELSE 'entropy' END AS method FROM (SELECT id, original_size * 3 - 295 AS s, (compressed_size % 80) / 10 AS e, (id % 40) / 100 AS h FROM audit)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").select("id", ladder(F.col("original_size") * 3 - 295, (F.col("compressed_size") % 80) / 10, (F.col("id") % 40) / 100, F.col("id") % 9 == 0).alias("method"))

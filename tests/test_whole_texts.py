@@ -1,10 +1,13 @@
 """Operators over whole texts, against plain Python."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from weft import catalog
 from weft.functions import documents
+from weft.operators.aggregates import frequent_ngrams
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +37,18 @@ def test_hit_rate_samples(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r["i"]: r["x"] for r in df.select("i", documents.hit_rate(F.col("t")).alias("x")).collect()}
     assert all(abs(got[i] - hit_rate(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def ngrams(texts, least):
+    n = Counter(t[i : i + k] for t in texts for k in range(10, min(100, len(t))) for i in range(len(t) - k + 1))
+    return {g: c for g, c in n.items() if c >= least and len(g.strip()) >= 10}
+
+
+def test_frequent_ngrams(spark, messages):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [t for _, _, t in messages[:12]] + [long, "ab " + long + "\u2003\u00e9 tail", long[150:] + "  \t  end"] + ["repeated message text"] * 3 + ["abc" * 40, "short", "", "exactly 10"]
+    for least in (2, 3):
+        got = {r["gram"]: r["n"] for r in frequent_ngrams(spark.createDataFrame([(t,) for t in texts], "t string"), "t", least).collect()}
+        want = ngrams(texts, least)
+        assert got == want
+    assert max(map(len, want)) == 99 and want["repeated message tex"] == 3 and "repeated message text" not in want

@@ -166,7 +166,37 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", F.expr("p_size div 7 + CASE WHEN p_partkey % 7 < p_size % 7 THEN 1 ELSE 0 END").alias("share"))
 
 
+TOKENS = ["ok", "yes", "no", "error", "warn", "info", "true", "false", "null", "pass", "fail", "ready", "status", "success", "failed"]
+
+
+def incompressible(text: Column) -> Column:
+    """Texts that will likely not shrink: short ones without repeats or known tokens, longer ones of high entropy.
+
+    The entropy is that of the characters, over 1000 characters or samples from the start, middle and end.
+    """
+    n, lower = F.length(text), F.lower(text)
+    size = F.length(lower)
+    token = F.regexp_replace(lower, r"^[ .,;:\-_]+|[ .,;:\-_]+$", "").isin(TOKENS)
+    sample = F.when(n <= 1000, text).otherwise(F.concat(F.left(text, F.lit(333)), F.substring(text, F.floor(n / 2).cast("int") - 165, F.lit(332)), F.right(text, F.lit(333))))
+    chars = F.filter(F.split(sample, ""), lambda c: c != "")
+    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
+    total = F.size(chars)
+    entropy = F.round(F.aggregate(F.transform(counts, lambda k: -k / total * F.log2(k / total)), F.lit(0.0), lambda a, x: a + x), 9)
+    same = F.size(counts) == 1
+    units = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(size / 2).cast("int")))
+    repeats = (size > 1) & F.exists(units, lambda u: (size % u == 0) & (F.replace(lower, F.left(lower, u), F.lit("")) == ""))
+    return (
+        F.when(text.isNull() | (n == 0), True).when(n <= 3, ~(((n > 1) & same) | token))
+        .when(n < 10, ~((F.array_max(counts) / n >= 0.7) | repeats | token | (entropy <= 2.5))).otherwise(entropy > 7.0)
+    )
+
+
+@query("flt_incompressible_messages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "msgs").select("conv_id", "turn", incompressible(F.col("text")).alias("incompressible"))
+
+
 @query("flt_incompressible", "SELECT n_regionkey, n_name, length(n_name) <= 3 AS incompressible FROM nation WHERE length(n_name) <= 3 OR length(n_name) > 9")
 def _(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "nation").where("length(n_name) <= 3 OR length(n_name) > 9")
-    return n.select("n_regionkey", "n_name", F.when(F.length("n_name") <= 3, True).otherwise(False).alias("incompressible"))
+    return n.select("n_regionkey", "n_name", incompressible(F.col("n_name")).alias("incompressible"))

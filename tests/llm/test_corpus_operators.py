@@ -108,6 +108,17 @@ def test_sharding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(i, "x" * (i * 37 % 900), "s", 0) for i in range(100)] + [(7, "y" * 400, "t", i) for i in range(30)] + [(None, "z" * 300, "n", i) for i in range(20)] + [(None, None, None, 0)]
+    write_shards(spark.createDataFrame(rows, DOCS), str(tmp_path / "s"), limit=4096)
+    got = spark.read.option("inferSchema", False).parquet(str(tmp_path / "s")).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"], r["rank"]) for r in got) == Counter(rows)
+    size = Counter()
+    for r in got:
+        size[str(r["shard"])] += len(r["text"] or "")
+    assert max(size.values()) <= 4096 and len({r["shard"] for r in got if r["doc_id"] == 7}) > 1
+
+
 def junk(rng, good):
     ws = ["".join(rng.choice(["an", "ther", "ing", "o", "re", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(8, 120))]
     return " ".join(ws) + "." if good else " ".join(w.upper() + "!!" for w in ws)

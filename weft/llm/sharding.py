@@ -19,11 +19,16 @@ from weft.llm.exchange import checkpoint
 HASH_BITS, SPARE_BITS = 60, 5
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 << 20) -> DataFrame:
-    """doc_id, n_bytes, depth, prefix (of depth bits, as '0101'), part and shard_bytes, per row of docs."""
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 << 20, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, depth, prefix (of depth bits, as '0101'), part and shard_bytes, per row of docs.
+
+    With carry, each row also has its own row of docs, as the struct row.
+    """
+    rest = ["row"] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     h = F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), h.alias("h")))
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), h.alias("h"), *row))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     deep = min(HASH_BITS, max(0, (int(total) // limit).bit_length()) + SPARE_BITS)
     rows = rows.withColumn("cell", F.shiftright("h", HASH_BITS - deep))
@@ -32,7 +37,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     nodes = levels.groupBy("depth", "node").agg(F.sum("bytes").alias("node_bytes"))
     fits = levels.join(nodes, ["depth", "node"]).where(f"node_bytes <= {limit} OR depth = {deep}")
     leaf = fits.groupBy("cell").agg(F.min(F.struct("depth", "node", "node_bytes")).alias("leaf"))
-    rows = rows.join(leaf, "cell").select("doc_id", "n_bytes", "h", "leaf.*")
+    rows = rows.join(leaf, "cell").select("doc_id", "n_bytes", "h", *rest, "leaf.*")
     half = limit // 2
     small = F.col("n_bytes") <= half
     order = Window.partitionBy("node").orderBy("h", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, 0)
@@ -43,10 +48,10 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     rows = rows.where(f"node_bytes <= {limit}").withColumn("part", F.lit(0).cast("long")).unionByName(over)
     size = rows.groupBy("depth", "node", "part").agg(F.sum("n_bytes").alias("shard_bytes"))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("node"), F.col("depth"), F.lit("0")))
-    return rows.join(size, ["depth", "node", "part"]).select("doc_id", "n_bytes", F.col("depth").cast("int"), bits.alias("prefix"), "part", "shard_bytes")
+    return rows.join(size, ["depth", "node", "part"]).select("doc_id", "n_bytes", F.col("depth").cast("int"), bits.alias("prefix"), "part", "shard_bytes", *rest)
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4 << 20) -> None:
-    """docs as Parquet under path, one folder per shard."""
-    of = shard(docs, id_col, text_col, limit).select(F.col("doc_id").alias(id_col), F.concat_ws("-", "depth", "prefix", "part").alias("shard")).dropDuplicates([id_col])
-    docs.join(of, id_col).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """docs as Parquet under path, one folder per shard; every row goes to the shard of its own."""
+    of = shard(docs, id_col, text_col, limit, carry=True).select("row.*", F.concat_ws("-", "depth", "prefix", "part").alias("shard"))
+    of.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -12,7 +12,7 @@ from weft.llm import html as pages
 from weft.llm.chat import conversations, link_quotes
 from weft.llm.mixing import mix, with_source
 from weft.llm.packing import length_class, optimal_bounds, pack
-from weft.llm.quality import quality
+from weft.llm.quality import DICTIONARY, fill, fit, quality
 from weft.llm.queries import OP10_SQL
 from weft.llm.sharding import shard, write_shards
 
@@ -139,6 +139,25 @@ def test_quality(spark):
     assert {round(r["score"], 6) for r in quality(df, labels.where("quality = 1")).collect()} != {0.0}
 
 
+def test_dictionaries_hold_every_row_to_its_end(spark):
+    rng = random.Random(5)
+    texts = {i: f"row{i:04d} " + "".join(rng.choice("abcdefgh ") for _ in range(3000)) + f" end{i:04d}" for i in range(1500)}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts], "doc_id long, quality int, toxic int")
+    model = fit(spark.createDataFrame([(i, t, "s", i) for i, t in texts.items()], DOCS), labels)
+    for y, d in ((1, model.good), (0, model.bad)):
+        assert len(d) <= DICTIONARY
+        pieces = d.decode().split("\n")
+        rows = {i for i, t in texts.items() if i % 2 == y and (t[:128] in pieces or t[-128:] in pieces)}
+        ends = [i for i, t in texts.items() if i % 2 == y and t[-128:] in pieces]
+        assert len(d) > 0.9 * DICTIONARY or len(rows) > 250
+        assert len(ends) > 100 and max(rows) > 1400
+
+
+def test_every_row_is_in_its_dictionary():
+    d = fill([[f"<{i:05d}>" + "é" * 121] * 2 for i in range(2600)])
+    assert len(d) <= DICTIONARY and all(f"<{i:05d}>".encode() in d for i in range(2600))
+
+
 PAGES = "page_id long, url string, html string, text string"
 
 

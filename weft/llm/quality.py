@@ -6,8 +6,10 @@ and by the sizes, is calibrated to a probability by a logistic curve, together w
 itself (it bends the curve for texts that repeat themselves) and the length's standard error.
 
 The model is fitted on at most LABELLED rows of either label, those with the least hash of their id; one half
-fills the dictionaries (the first PIECE bytes of each), the other half, scored whole, calibrates.  Rows are
-weighted so that the classes have the shares they have among all labels.
+fills the dictionaries, the other half, scored whole, calibrates.  Every row of the first half (about 2000 a
+label at most) is in its dictionary, by up to PIECES pieces of PIECE characters spread over its whole text; if
+not all fit into DICTIONARY bytes, all rows have the same number but for one.  Rows are weighted so that the
+classes have the shares they have among all labels.
 
 Defined cases: null and empty texts get the score of no evidence, like any other; labels other than 0 and 1
 and ids without text are not learnt from; without both labels the score is the share of good labels.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.words import flat
 
-LABELLED, PIECE, DICTIONARY, BLOCK, LEVEL = 4000, 1024, 256 << 10, 1024, 3
+LABELLED, PIECE, PIECES, DICTIONARY, BLOCK, LEVEL = 4000, 128, 8, 256 << 10, 1024, 3
 HELD_OUT = "crc32(cast(cast(id AS string) AS binary)) % 5 = 0"
 _ready: dict[bytes, zstandard.ZstdCompressor] = {}
 
@@ -66,6 +68,22 @@ def features(column: pa.Array, good: bytes, bad: bytes) -> np.ndarray:
     return np.c_[by_length, by_size, share, spread, share**2, share * spread, by_length * share, by_size * share, by_length * spread]
 
 
+def fill(rows: list[list[str]], size: int = DICTIONARY) -> bytes:
+    """A dictionary of size bytes at most from the pieces of every row: one of each row, then a second one, until it is full."""
+    most = max(1, size // max(1, len(rows)) - 1)
+    seen: dict[bytes, None] = {}
+    used = 0
+    for k in range(PIECES):
+        for at, row in enumerate(rows):
+            if k < len(row):
+                # Rows begin at different places of their texts.
+                piece = row[(k + at) % len(row)].encode()[:most]
+                if piece not in seen and used + len(piece) + 1 <= size:
+                    seen[piece] = None
+                    used += len(piece) + 1
+    return b"\n".join(seen)
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
     """A model from labelled rows outside the held-out fold."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("good")).where(f"good IN (0, 1) AND id IS NOT NULL AND NOT ({HELD_OUT})").dropDuplicates(["id"])
@@ -77,13 +95,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     least = [marks.where(F.col("good") == y).orderBy(F.xxhash64("id"), "id").limit(labelled).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2))) for y in (0, 1)]
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id")
-    heads = rows.where("part = 0").select("id", "good", F.expr(f"left(text, {PIECE})").alias("head")).orderBy("id").collect()
-
-    def dictionary(y: int) -> bytes:
-        seen = dict.fromkeys(r["head"] for r in heads if r["good"] == y)
-        return "\n".join(seen).encode()[:DICTIONARY]
-
-    good, bad = dictionary(1), dictionary(0)
+    n = "length(text)"
+    count = f"least({PIECES}, greatest(1, ceil({n} / {PIECE})))"
+    cut = f"transform(sequence(0, cast({count} AS int) - 1), j -> substring(text, cast(floor(j * greatest(0, {n} - {PIECE}) / greatest(1, {count} - 1)) AS int) + 1, {PIECE}))"
+    taken = rows.where("part = 0").select("id", "good", F.expr(cut).alias("pieces")).orderBy(F.xxhash64("id"), "id").collect()
+    good, bad = (fill([r["pieces"] for r in taken if r["good"] == y]) for y in (1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:

@@ -104,3 +104,12 @@ def test_recall_of_nearest(spark):
         assert all(abs(s - c[q, v]) < 1e-12 for _, v, s in found)
         hits += len({v for _, v, _ in found} & set(np.argsort(-c[q])[:5].tolist()))
     assert hits / (5 * len(got)) >= 0.9
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(32)
+    near = [(base + rng.standard_normal(32) * e).tolist() for e in (0.01, 0.02, 0.03, 0.04, 0.05)]
+    rows = [(0, base.tolist(), 0)] + [(1, (base * (1 + n)).tolist(), 0) for n in range(40)] + [(i + 2, v, 0) for i, v in enumerate(near)]
+    got = [(r["rank"], r["vec_id"]) for r in nearest(spark.createDataFrame(rows, ROWS)).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]

@@ -85,16 +85,23 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
             x = matrix(t["v"], d)
             u = unit(x)
             own, item, q, c = ids[ask], ids[~ask], u[ask], u[~ask]
+            by_id = np.argsort(item, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(item[by_id]) != 0])
             for lo in range(0, len(own), 256):
                 near = q[lo : lo + 256] @ c.T
                 near[own[lo : lo + 256][:, None] == item[None]] = -np.inf
-                cut = np.partition(near, -min(k, len(item)), axis=1)[:, -min(k, len(item))]
+                # Rows of one id count once, by the best of them.
+                best = near if len(starts) == len(item) else np.maximum.reduceat(near[:, by_id], starts, axis=1)
+                cut = np.partition(best, -min(k, len(starts)), axis=1)[:, -min(k, len(starts))]
                 i, j = np.nonzero((near >= cut[:, None] - 1e-9) & (near > -np.inf))
                 # A fixed order of summation, so that equal vectors have equal scores.
                 a, b = x[ask][lo + i], x[~ask][j]
                 score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
                 order = np.lexsort((item[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
+                _, at = np.unique(np.stack([i, item[j]]), axis=1, return_index=True)
+                at.sort()
+                i, j, score = i[at], j[at], score[at]
                 first = np.searchsorted(i, np.arange(i[-1] + 1 if len(i) else 0))
                 few = np.arange(len(i)) - first[i] < k * 4 if len(i) else np.zeros(0, bool)
                 i, j, score = i[few], j[few], score[few]

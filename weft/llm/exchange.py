@@ -9,6 +9,7 @@ holds about PART_BYTES of text (or what becomes of it) at any size.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,10 +24,17 @@ ENTRY = "bucket int, grp int, n int, h binary, v binary, w binary"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable copy of df in the shared checkpoint folder; a folder is set only where there is none."""
+    """A reliable copy of df in the shared checkpoint folder.
+
+    The folder is the one that the session names in spark.checkpoint.dir.  Where it names none, a local master
+    gets a folder of its own; a cluster is an error, as executors share no local folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/weft")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weft-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,8 +45,11 @@ def parts_of(df: DataFrame, column: str, part_bytes: int = PART_BYTES) -> int:
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, parts: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, text and group (and a struct of the carried columns), dealt by group.  Every use of the same frame shares one exchange."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+    """id, text and group (and a struct of the carried columns), dealt by group.  Every use of the same frame shares one exchange.
+
+    Groups follow id and text, so that many rows of one id, or of none, are spread by their texts.
+    """
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rest = [F.struct(*carry).alias("rest")] if carry else []
     return docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.pmod(key, F.lit(parts)).cast("int").alias("grp"), *rest

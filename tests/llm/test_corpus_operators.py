@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 import zlib
@@ -6,13 +7,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from weft.llm import html as pages
 from weft.llm.chat import conversations, link_quotes
 from weft.llm.mixing import mix, with_source
 from weft.llm.packing import length_class, optimal_bounds, pack
-from weft.llm.quality import DICTIONARY, fill, fit, quality
+from weft.llm.quality import BLOCK, DICTIONARY, LEVEL, PRIOR, dictionary_of, fit, quality
 from weft.llm.queries import OP10_SQL
 from weft.llm.sharding import shard, write_shards
 
@@ -139,23 +141,28 @@ def test_quality(spark):
     assert {round(r["score"], 6) for r in quality(df, labels.where("quality = 1")).collect()} != {0.0}
 
 
-def test_dictionaries_hold_every_row_to_its_end(spark):
+def test_quality_against_brute_force(spark):
+    """Scores are the calibrated difference of two compressed sizes, block by block over the whole text, and nothing else."""
+    rng = random.Random(6)
+    rows = [(i, junk(rng, i % 3 != 0) * (40 if i % 50 == 0 else 1), "s", i) for i in range(300)] + [(400, None, "s", 0), (401, "", "t", 0)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)] + [(2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, DOCS)
+    model = fit(df, labels)
+    assert model == fit(df.repartition(5), labels.repartition(3))
+    made = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.bad, model.good)]
+    for r in quality(df, labels).collect():
+        b = (rows[r["doc_id"]][1] if r["doc_id"] < 300 else "" or "").encode()
+        size = [sum(len(c.compress(b[p : p + BLOCK])) for p in range(0, len(b), BLOCK)) for c in made]
+        z = model.intercept + model.slope * max(model.least, (size[0] - size[1] + PRIOR * model.average) / (len(b) + PRIOR))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_dictionaries_are_trained_on_whole_texts():
     rng = random.Random(5)
-    texts = {i: f"row{i:04d} " + "".join(rng.choice("abcdefgh ") for _ in range(3000)) + f" end{i:04d}" for i in range(1500)}
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts], "doc_id long, quality int, toxic int")
-    model = fit(spark.createDataFrame([(i, t, "s", i) for i, t in texts.items()], DOCS), labels)
-    for y, d in ((1, model.good), (0, model.bad)):
-        assert len(d) <= DICTIONARY
-        pieces = d.decode().split("\n")
-        rows = {i for i, t in texts.items() if i % 2 == y and (t[:128] in pieces or t[-128:] in pieces)}
-        ends = [i for i, t in texts.items() if i % 2 == y and t[-128:] in pieces]
-        assert len(d) > 0.9 * DICTIONARY or len(rows) > 250
-        assert len(ends) > 100 and max(rows) > 1400
-
-
-def test_every_row_is_in_its_dictionary():
-    d = fill([[f"<{i:05d}>" + "é" * 121] * 2 for i in range(2600)])
-    assert len(d) <= DICTIONARY and all(f"<{i:05d}>".encode() in d for i in range(2600))
+    texts = [("x" * 3000 + f" the tail number {i % 3} of every text " + "".join(rng.choice("abcdefgh ") for _ in range(60))).encode() for i in range(500)]
+    d = dictionary_of(texts)
+    assert len(d) <= DICTIONARY and all(f"tail number {k} of every".encode() in d for k in range(3))
+    assert dictionary_of([b"only one"]) == b"only one" and dictionary_of([]) == b""
 
 
 PAGES = "page_id long, url string, html string, text string"

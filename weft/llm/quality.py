@@ -1,18 +1,20 @@
 """Quality scores by compression.
 
-Two zstandard dictionaries hold text of good and of bad labelled rows.  A text is cut into blocks of BLOCK
-bytes, all of which are compressed with either; the difference of the two sizes, normalised by the length
-and by the sizes, is calibrated to a probability by a logistic curve, together with the compressed share
-itself (it bends the curve for texts that repeat themselves) and the length's standard error.
+Two zstandard dictionaries are trained by zstandard itself on good and on bad labelled texts.  A text is cut
+into blocks of BLOCK bytes, all of which are compressed with either; the difference of the two compressed
+sizes, normalised by the text's length, is calibrated to a probability by a logistic curve.  Short texts show
+little either way, so PRIOR bytes of the average difference are added to every text.  Nothing else enters the
+score.
 
-The model is fitted on at most LABELLED rows of either label, those with the least hash of their id; one half
-fills the dictionaries, the other half, scored whole, calibrates.  Every row of the first half (about 2000 a
-label at most) is in its dictionary, by up to PIECES pieces of PIECE characters spread over its whole text; if
-not all fit into DICTIONARY bytes, all rows have the same number but for one.  Rows are weighted so that the
-classes have the shares they have among all labels.
+The model is fitted on at most LABELLED rows of either label, those with the least hash of their id, and of them
+on so many as have SAMPLE_BYTES of text together (one at least).  One half trains the dictionaries on its whole
+texts, in pieces of PIECE bytes; the other half, scored whole, calibrates.  Rows are weighted so that the classes
+have the shares they have among all labels.
 
 Defined cases: null and empty texts get the score of no evidence, like any other; labels other than 0 and 1
-and ids without text are not learnt from; without both labels the score is the share of good labels.
+and ids without text are not learnt from; an id with several labels has the least of them, and all of its
+texts are learnt from; without both labels the score is the share of good labels; texts too few for training
+are a dictionary as they are.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.words import flat
 
-LABELLED, PIECE, PIECES, DICTIONARY, BLOCK, LEVEL = 4000, 128, 8, 256 << 10, 1024, 3
+LABELLED, SAMPLE_BYTES, PIECE, DICTIONARY, BLOCK, LEVEL, PRIOR = 4000, 32 << 20, 256, 256 << 10, 1024, 3, 64
 HELD_OUT = "crc32(cast(cast(id AS string) AS binary)) % 5 = 0"
 _ready: dict[bytes, zstandard.ZstdCompressor] = {}
 
@@ -37,87 +39,85 @@ _ready: dict[bytes, zstandard.ZstdCompressor] = {}
 class Model:
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    average: float
+    least: float
+    intercept: float
+    slope: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale] @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def score(self, more: np.ndarray, n: np.ndarray) -> np.ndarray:
+        x = np.maximum(self.least, (more + PRIOR * self.average) / (n + PRIOR))
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * x, -40, 40)))
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if dictionary not in _ready:
-        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if d:
             d.precompute_compress(level=LEVEL)
-        _ready[dictionary] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False)
+        _ready[dictionary] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
     return _ready[dictionary]
 
 
-def features(column: pa.Array, good: bytes, bad: bytes) -> np.ndarray:
+def differences(column: pa.Array, good: bytes, bad: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that each text takes more with the bad dictionary than with the good one, and its own."""
     data, off = flat(column)
     raw, g, b = data.tobytes(), _compressor(good), _compressor(bad)
-    size = np.empty((len(off) - 1, 2))
+    more = np.zeros(len(off) - 1)
     for i, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        parts = [raw[p : min(p + BLOCK, hi)] for p in range(lo, hi, BLOCK)] or [b""]
-        size[i] = sum(len(g.compress(p)) for p in parts), sum(len(b.compress(p)) for p in parts)
-    n = np.maximum(1, np.diff(off))
-    more = size[:, 1] - size[:, 0]
-    by_length, by_size, share, spread = more / n, more / size.sum(axis=1), size[:, 0] / n, 1 / np.sqrt(n)
-    return np.c_[by_length, by_size, share, spread, share**2, share * spread, by_length * share, by_size * share, by_length * spread]
-
-
-def fill(rows: list[list[str]], size: int = DICTIONARY) -> bytes:
-    """A dictionary of size bytes at most from the pieces of every row: one of each row, then a second one, until it is full."""
-    most = max(1, size // max(1, len(rows)) - 1)
-    seen: dict[bytes, None] = {}
-    used = 0
-    for k in range(PIECES):
-        for at, row in enumerate(rows):
-            if k < len(row):
-                # Rows begin at different places of their texts.
-                piece = row[(k + at) % len(row)].encode()[:most]
-                if piece not in seen and used + len(piece) + 1 <= size:
-                    seen[piece] = None
-                    used += len(piece) + 1
-    return b"\n".join(seen)
+        for p in range(lo, hi, BLOCK):
+            piece = raw[p : min(p + BLOCK, hi)]
+            more[i] += len(b.compress(piece)) - len(g.compress(piece))
+    return more, np.diff(off)
+
+
+def dictionary_of(texts: list[bytes]) -> bytes:
+    """A dictionary of at most DICTIONARY bytes, trained on the whole texts."""
+    pieces = [t[p : p + PIECE] for t in texts for p in range(0, len(t), PIECE)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(pieces)[:DICTIONARY]
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
     """A model from labelled rows outside the held-out fold."""
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("good")).where(f"good IN (0, 1) AND id IS NOT NULL AND NOT ({HELD_OUT})").dropDuplicates(["id"])
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("good")).where(f"good IN (0, 1) AND id IS NOT NULL AND NOT ({HELD_OUT})").groupBy("id").agg(F.min("good").cast("int").alias("good"))
     counts = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
         p = (n1 + 1) / (n1 + n0 + 2)
-        return Model(b"", b"", np.zeros(9), np.ones(9), np.r_[np.log(p / (1 - p)), np.zeros(9)])
-    least = [marks.where(F.col("good") == y).orderBy(F.xxhash64("id"), "id").limit(labelled).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2))) for y in (0, 1)]
+        return Model(b"", b"", 0.0, -np.inf, float(np.log(p / (1 - p))), 0.0)
+    least = [marks.where(F.col("good") == y).orderBy(F.xxhash64("id"), "id").limit(labelled) for y in (0, 1)]
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id")
-    n = "length(text)"
-    count = f"least({PIECES}, greatest(1, ceil({n} / {PIECE})))"
-    cut = f"transform(sequence(0, cast({count} AS int) - 1), j -> substring(text, cast(floor(j * greatest(0, {n} - {PIECE}) / greatest(1, {count} - 1)) AS int) + 1, {PIECE}))"
-    taken = rows.where("part = 0").select("id", "good", F.expr(cut).alias("pieces")).orderBy(F.xxhash64("id"), "id").collect()
-    good, bad = (fill([r["pieces"] for r in taken if r["good"] == y]) for y in (1, 0))
+    rows = texts.join(F.broadcast(least[0].unionByName(least[1])), "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
+    order = Window.partitionBy("good", "part").orderBy(F.xxhash64("id"), "id", "size", "hash")
+    rows = rows.withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})
+    rows = rows.withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(order)}).where(f"upto <= {SAMPLE_BYTES // 2} OR nth = 1")
+    taken = rows.where("part = 0").select("good", "text", "nth").orderBy("good", "nth").collect()
+    good, bad = (dictionary_of([r["text"].encode() for r in taken if r["good"] == y]) for y in (1, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x = features(t["text"], good, bad)
-            yield pa.record_batch({"id": t["id"], "good": t["good"].cast(pa.int32()), "x": pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * 9, x.reshape(-1))})
+            more, n = differences(t["text"], good, bad)
+            yield pa.record_batch({"good": t["good"].cast(pa.int32()), "nth": t["nth"], "more": pa.array(more), "n": pa.array(n)})
 
-    got = rows.where("part = 1").select("id", "good", "text").mapInArrow(run, "id long, good int, x array<double>").orderBy("id").collect()
-    x, y = np.array([r["x"] for r in got]).reshape(-1, 9), np.array([r["good"] for r in got])
+    got = rows.where("part = 1").select("good", "nth", "text").mapInArrow(run, "good int, nth int, more double, n long").orderBy("good", "nth").collect()
+    more, n, y = (np.array([r[c] for r in got], float) for c in ("more", "n", "good"))
     if not len(y):
-        x, y = np.zeros((1, 9)), np.ones(1)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a, weight = np.c_[np.ones(len(x)), (x - mean) / scale], np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
-    weight = weight / weight.mean()
-    w = np.zeros(a.shape[1])
+        more, n, y = np.zeros(1), np.zeros(1), np.ones(1)
+    weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
+    weight, w = weight / weight.mean(), np.zeros(2)
+    average = float((weight * more / np.maximum(1, n)).mean())
+    x = (more + PRIOR * average) / (n + PRIOR)
+    # Differences below those of most bad texts tell no more, and would flatten the curve where the classes meet.
+    least = float(np.median(x[y == 0])) if (y == 0).any() else -np.inf
+    x = np.maximum(least, x)
+    scale = x.std() + 1e-9
+    a = np.c_[np.ones(len(x)), x / scale]
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        w = w - np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.eye(len(w)), a.T @ (weight * (p - y)) + w)
-    return Model(good, bad, mean, scale, w)
+        w = w - np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(2), a.T @ (weight * (p - y)) + 0.05 * w)
+    return Model(good, bad, average, least, float(w[0]), float(w[1] / scale))
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -126,8 +126,8 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            x = features(t[text_col], model.good, model.bad)
-            yield pa.RecordBatch.from_arrays([*(t[c] for c in kept), pa.array(model.score(x))], names=[*kept, out])
+            x = model.score(*differences(t[text_col], model.good, model.bad))
+            yield pa.RecordBatch.from_arrays([*(t[c] for c in kept), pa.array(x)], names=[*kept, out])
 
     schema = documents.select(*kept).schema.add(out, "double")
     return documents.select(*kept).mapInArrow(run, schema)

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -92,6 +93,51 @@ def test_mixing(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_mixing_ranks_by_odds(spark):
+    """Against a plain version: sampled ranks are u's odds over inclusion odds, not u, and longer texts are likelier."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.choice([1, 4, 30, 300])), rng.choice("aab"), i) for i in range(1500)] + [(None, "w w", "a", 0)] * 3 + [(3, "w " * 9, "a", 1)]
+    got = mix(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    goal, want, orders_differ, odds = targets(dict(sizes)), Counter(), False, {}
+    for s in sizes:
+        docs = [(str(i) if i is not None else "null", len(t.split())) for i, t, x, _ in rows if x == s]
+        weight, full = {n: n.bit_length() for _, n in docs}, set()
+        while True:
+            rest = sum(n * weight[n] for _, n in docs if weight[n] not in full)
+            level = (goal[s] - 3 * sum(n for _, n in docs if weight[n] in full)) / rest if rest else 0
+            over = {weight[n] for _, n in docs if weight[n] not in full and level * weight[n] > 3}
+            if not over:
+                break
+            full |= {max(over)}
+        r = {n: 3.0 if weight[n] in full else level * weight[n] for _, n in docs}
+        missing = goal[s] - sum(int(r[n]) * n for _, n in docs)
+        ranked = []
+        for name, n in docs:
+            p, u = r[n] - int(r[n]), (int(hashlib.md5(f"mix{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            if p > 0:
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), name, n, u))
+        ranked.sort()
+        orders_differ |= ranked != sorted(ranked, key=lambda x: (x[3], x[1], x[2]))
+        odds[s] = {n: r[n] - int(r[n]) for n in r}
+        upto, picked = 0, {}
+        for key, tied in itertools.groupby(ranked):
+            tied = list(tied)
+            upto += sum(x[2] for x in tied)
+            picked[key] = 2 * upto - key[2] <= 2 * missing
+        gap = missing - sum(x[2] for x in ranked if picked[x])
+        could = [(abs(gap - (-x[2] if picked[x] else x[2])), x) for x in ranked if x[2]]
+        could = [x for x in could if x[0] < abs(gap) - 1e-9]
+        flip = min(could)[1] if could else None
+        for name, n in docs:
+            one = next((x for x in ranked if x[1:3] == (name, n)), None)
+            want[s, name, n, int(r[n]) + (one is not None and picked[one] != (one == flip))] += 1
+    assert orders_differ and any(len({round(p, 3) for p in of.values()}) > 1 for of in odds.values())
+    assert Counter((r["source"], "null" if r["doc_id"] is None else str(r["doc_id"]), r["size"], r["copies"]) for r in got) == want
+
+
 def test_sharding(spark, tmp_path):
     rows = [(i, "x" * (i * 37 % 900), "s", 0) for i in range(800)] + [(7, "y" * 400, "t", 1)] * 30 + [(900, "z" * 5000, "s", 0), (None, None, None, 0), (901, None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS)

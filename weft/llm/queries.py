@@ -101,12 +101,19 @@ s2 AS (SELECT *, 3 * source_size / weight AS fill FROM s1),
 s3 AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY fill, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY fill, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s2),
 s4 AS (SELECT source, source_size, coalesce(least(3.0::DOUBLE * source_size, weight * (SELECT arg_min(lv, fill) FROM s3 WHERE lv <= fill)), 0) AS target FROM s3),
-s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM s4),
-a AS (SELECT d.*, source_size, target, floor(r) AS whole, r - floor(r) AS p, target - floor(r) * source_size AS missing FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
-b AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id) AS upto FROM a),
-c AS (SELECT *, p > 0 AND 2 * upto - size <= 2 * missing AS picked FROM b),
+v0 AS (SELECT source, length(bin(size)) AS w, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+v1 AS (SELECT v0.source, w, words, source_size, target, coalesce(sum(words) OVER (PARTITION BY v0.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over,
+    sum(words * w) OVER (PARTITION BY v0.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM v0 JOIN s4 ON v0.source IS NOT DISTINCT FROM s4.source),
+v2 AS (SELECT *, CASE WHEN rest > 0 THEN (target - 3 * over) / rest END AS lv FROM v1),
+v3 AS (SELECT source, arg_max(lv, w) AS lv FROM v2 WHERE lv * w <= 3 GROUP BY source),
+v4 AS (SELECT v2.source, w, words, source_size, target, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, coalesce(w * v3.lv, 3)) ELSE 0 END AS r FROM v2 LEFT JOIN v3 ON v2.source IS NOT DISTINCT FROM v3.source),
+s5 AS (SELECT *, target - sum(floor(r) * words) OVER (PARTITION BY source) AS missing FROM v4),
+a AS (SELECT d.*, source_size, target, floor(r) AS whole, r - floor(r) AS p, missing FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source AND length(bin(d.size)) = w),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM a WHERE p > 0),
+b AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto FROM q UNION ALL SELECT *, NULL, NULL FROM a WHERE p <= 0),
+c AS (SELECT *, coalesce(2 * upto - size <= 2 * missing, false) AS picked FROM b),
 g AS (SELECT source, any_value(missing) - sum(CASE WHEN picked THEN size ELSE 0 END) AS gap FROM c WHERE p > 0 GROUP BY source),
-f AS (SELECT c.source, first(doc_id ORDER BY abs(gap - CASE WHEN picked THEN -size ELSE size END), u, doc_id) AS flip FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
+f AS (SELECT c.source, first(doc_id ORDER BY abs(gap - CASE WHEN picked THEN -size ELSE size END), rank, doc_id) AS flip FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
     WHERE p > 0 AND size > 0 AND abs(gap - CASE WHEN picked THEN -size ELSE size END) < abs(gap) GROUP BY c.source)
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN picked <> (flip IS NOT NULL AND flip = doc_id) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source

@@ -74,6 +74,32 @@ def test_substring_cases(spark):
     assert dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_factors_cover_every_indexed_block():
+    """A parse by jumps and boundaries covers the words of all indexed blocks, and each factor is a piece of its reference."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n, k = int(rng.integers(1, 60)), int(rng.integers(2, 14))
+        ref, place, found = np.zeros(n, np.int64), np.zeros(n, np.int64), rng.random(n) < rng.choice([0.1, 0.6, 0.95])
+        for i in range(n):
+            goes_on = i and rng.random() < 0.8
+            ref[i], place[i] = (ref[i - 1], place[i - 1] + 1) if goes_on else (rng.integers(5), rng.integers(50))
+        covered = np.zeros(n + k, bool)
+        for i in np.flatnonzero(found):
+            covered[i : i + k] = True
+        parts, parsed, end = factor(ref, place, found, k), np.zeros(n + k, bool), 0
+        for start, length, r, p in parts:
+            parsed[start : start + length] = True
+            blocks = np.arange(start, start + length - k + 1)
+            assert length >= k and found[blocks].all() and (ref[blocks] == r).all() and (place[blocks] == p + blocks - start).all()
+        assert (parsed == covered).all()
+        # Greedy: a factor that starts behind the last jump is as long as its reference goes on.
+        for start, length, r, p in parts:
+            if start >= end:
+                after = start + length - k + 1
+                assert after >= n or not found[after] or ref[after] != r or place[after] != p + after - start
+                end = start + length
+
+
 def test_greedy_factors():
     ref, place = np.array([1, 1, 2, 2, 0]), np.array([4, 5, 9, 10, 0])
     assert factor(ref, place, np.array([True, True, True, True, False]), 13) == [(0, 14, 1, 4), (2, 14, 2, 9)]

@@ -3,11 +3,16 @@
 Every document is a reference for the documents with greater ids.  Its blocks are runs of min_words words.
 Each block is reached through its anchor, the least hash among its 5-word grams, so equal blocks have equal
 anchors.  Documents first exchange only their distinct anchors; blocks whose anchor two documents share are
-then indexed: block hash -> first place (document, word) that holds it.  A document is factored greedily: a
-factor starts at a block that an earlier document holds and grows while the next block continues the same
-reference; where it ends, at a factor boundary, the index is asked again for each block that straddles the
-boundary.  The words of all factors are duplicate spans, which are exactly the words covered by some block
-of min_words words that also starts in a document with a smaller id.
+then indexed: block hash -> first place (document, word) that holds it, and each group gets the part of that
+index which its own texts need.
+
+A document is parsed greedily from its start.  At a word whose block is not indexed the parse moves one word on
+(a literal).  At an indexed one it takes the longest factor: the block, and every next word as long as the
+block that ends there continues the same reference; then it jumps behind the factor.  A factor may end only
+because its reference does, while the words around its end stand in another one.  So at each factor boundary
+the blocks across it are asked for as well, and those indexed are factors too, which bridge the boundary.
+Factors of min_words words and more are duplicate spans; they are exactly the words covered by some block of
+min_words words that also starts in a document with a smaller id.
 
 Defined cases: null text has no words; a null id is kept whole and is no reference (it is neither smaller
 nor greater); rows with equal ids are no references for one another; documents shorter than min_words stay.
@@ -99,14 +104,31 @@ def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Table]]:
 
 
 def factor(ref: np.ndarray, place: np.ndarray, found: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, length, reference document, start there) of one document's blocks."""
-    at = np.flatnonzero(found)
-    if not len(at):
+    """Greedy factors (start, length, reference document, start there) of one document, in order.
+
+    ref, place and found say for each block start what the index holds.  Factors overlap only where some bridge
+    a boundary.
+    """
+    hits = np.flatnonzero(found)
+    if not len(hits):
         return []
-    goes_on = (np.diff(at) == 1) & (ref[at[1:]] == ref[at[:-1]]) & (np.diff(place[at]) == 1)
-    lo = at[np.r_[True, ~goes_on]]
-    hi = at[np.r_[~goes_on, True]]
-    return [(int(a), int(b - a) + k, int(ref[a]), int(place[a])) for a, b in zip(lo, hi, strict=True)]
+    # The last of the hits that continue one reference from each hit on.
+    goes_on = (np.diff(hits) == 1) & (ref[hits[1:]] == ref[hits[:-1]]) & (np.diff(place[hits]) == 1)
+    breaks = np.r_[np.flatnonzero(~goes_on), len(hits) - 1]
+    out, at = [], 0
+    while at < len(hits):
+        start = int(hits[at])
+        last = int(hits[breaks[np.searchsorted(breaks, at)]])
+        end = last + k
+        out.append((start, end - start, int(ref[start]), int(place[start])))
+        # Blocks that begin inside the factor and end behind it.
+        lo, at = int(np.searchsorted(hits, last, "right")), int(np.searchsorted(hits, end))
+        while lo < at:
+            upto = min(int(breaks[np.searchsorted(breaks, lo)]), at - 1)
+            first = int(hits[lo])
+            out.append((first, int(hits[upto]) + k - first, int(ref[first]), int(place[first])))
+            lo = upto + 1
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, with_text: bool = False, carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES) -> DataFrame:

@@ -17,7 +17,7 @@ from weft.llm.mixing import mix, with_source
 from weft.llm.packing import length_class, optimal_bounds, pack
 from weft.llm.quality import BLOCK, DICTIONARY, LEVEL, PRIOR, dictionary_of, fit, quality
 from weft.llm.queries import OP10_SQL
-from weft.llm.sharding import shard, write_shards
+from weft.llm.sharding import SPARE_BITS, shard, write_shards
 
 DOCS = "doc_id long, text string, source string, rank long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,6 +156,23 @@ def test_sharding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
 
 
+def test_sharding_splits_on_every_bit(spark):
+    """Buckets of equal leading bits split further down; equal ids, which nothing splits, become parts."""
+    rng = random.Random(4)
+    h = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(60_000)}
+    close = sorted(h, key=h.get)
+    near = max(range(len(close) - 1), key=lambda k: (h[close[k]] ^ h[close[k + 1]]).bit_length() * -1)
+    ids = [close[near], close[near + 1], *rng.sample(range(60_000), 40)] + [17] * 25
+    rows = [(i, "x" * 700, "s", 0) for i in ids]
+    got = shard(spark.createDataFrame(rows, DOCS), limit=1000).collect()
+    deep = 60 - (h[close[near]] ^ h[close[near + 1]]).bit_length() + 1
+    by = {r["doc_id"]: r for r in got}
+    assert by[close[near]]["depth"] == by[close[near + 1]]["depth"] == deep > (len(rows) * 700 // 1000).bit_length() + SPARE_BITS
+    assert all(r["shard_bytes"] <= 1000 for r in got)
+    assert sorted(r["part"] for r in got if r["doc_id"] == 17) == list(range(-25, 0))
+    assert all(r["part"] == 0 for r in got if r["doc_id"] != 17)
+
+
 def test_written_shards_hold_every_row(spark, tmp_path):
     rows = [(i, "x" * (i * 37 % 900), "s", 0) for i in range(100)] + [(7, "y" * 400, "t", i) for i in range(30)] + [(None, "z" * 300, "n", i) for i in range(20)] + [(None, None, None, 0)]
     write_shards(spark.createDataFrame(rows, DOCS), str(tmp_path / "s"), limit=4096)

@@ -134,13 +134,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
-k AS (SELECT CASE WHEN sum(n_bytes) // 4194304 = 0 THEN 0 ELSE CAST(floor(log2(sum(n_bytes) // 4194304)) AS INTEGER) + 1 END + 5 AS deep FROM d),
-t AS (SELECT doc_id, n_bytes, h, 0 AS depth, CAST(0 AS BIGINT) AS node, sum(n_bytes) OVER () AS node_bytes FROM d
+k AS (SELECT greatest(65536, CAST(floor(64 * sqrt(coalesce(sum(n_bytes), 0))) AS BIGINT)) AS most FROM d),
+t AS (SELECT doc_id, n_bytes, h, 0 AS depth, CAST(0 AS BIGINT) AS node, sum(n_bytes) OVER () AS node_bytes, min(h) OVER () < max(h) OVER () AS splits FROM d
   UNION ALL
-  SELECT doc_id, n_bytes, h, depth + 1, h >> (59 - depth), sum(n_bytes) OVER (PARTITION BY h >> (59 - depth)) FROM t, k WHERE node_bytes > 4194304 AND depth < deep),
-l AS (SELECT t.* FROM t, k WHERE node_bytes <= 4194304 OR depth = deep),
-o AS (SELECT *, CASE WHEN node_bytes <= 4194304 THEN 0 WHEN n_bytes <= 2097152
-    THEN ceil(sum(CASE WHEN n_bytes <= 2097152 THEN n_bytes ELSE 0 END) OVER w / 2097152.0) ELSE -sum(CASE WHEN n_bytes <= 2097152 THEN 0 ELSE 1 END) OVER w END AS part
+  SELECT doc_id, n_bytes, h, depth + 1, h >> (59 - depth), sum(n_bytes) OVER w, min(h) OVER w < max(h) OVER w
+  FROM t, k WHERE node_bytes > most AND depth < 60 AND (splits OR depth < (SELECT CASE WHEN sum(n_bytes) // most = 0 THEN 0 ELSE CAST(floor(log2(sum(n_bytes) // most)) AS INTEGER) + 1 END + 5 FROM d, k GROUP BY most))
+  WINDOW w AS (PARTITION BY h >> (59 - depth))),
+l AS (SELECT t.*, most FROM t, k WHERE node_bytes <= most OR depth = 60 OR NOT (splits OR depth < (SELECT CASE WHEN sum(n_bytes) // most = 0 THEN 0 ELSE CAST(floor(log2(sum(n_bytes) // most)) AS INTEGER) + 1 END + 5 FROM d, k GROUP BY most))),
+o AS (SELECT *, CASE WHEN node_bytes <= most THEN 0 WHEN n_bytes <= most // 2
+    THEN ceil(sum(CASE WHEN n_bytes <= most // 2 THEN n_bytes ELSE 0 END) OVER w / CAST(most // 2 AS DOUBLE)) ELSE -sum(CASE WHEN n_bytes <= most // 2 THEN 0 ELSE 1 END) OVER w END AS part
   FROM l WINDOW w AS (PARTITION BY depth, node ORDER BY h, doc_id, n_bytes ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, n_bytes, depth, right(repeat('0', 60) || bin(node), depth) AS prefix, CAST(part AS BIGINT) AS part, CAST(sum(n_bytes) OVER (PARTITION BY depth, node, part) AS BIGINT) AS shard_bytes FROM o
 """

@@ -296,13 +296,81 @@ def test_quotes(spark):
     duck = duckdb.connect()
     duck.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    found = duck.execute(f"SELECT conv_id, turn, role, text, n_quoted, reply_to, thread_root FROM ({OP10_SQL})").fetchall()
+    found = duck.execute(f"SELECT conv_id, turn, role, text, n_quoted, reply_to, thread_root, position FROM ({OP10_SQL})").fetchall()
     assert sorted(map(str, found)) == sorted(str(tuple(r)) for r in got)
     order = [m["turn"] for m in conversations(df).where("conv_id = 1").collect()[0]["messages"]]
     assert order == [0, 1, 3, 4, 5, 5, 2, 6]
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """A plain version of quotation linking: own text, quoted lines, answered turn, root and position."""
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    mark = re.compile(r"^\s*(>[\s>]*)")
+    own, quoted = {}, {}
+    for c, t, _, text in rows:
+        lines, passages, held = (text or "").split("\n"), [], None
+        plain = [x for x in lines if not mark.match(x)]
+        for x in [*lines, ""]:
+            m = mark.match(x)
+            level = m[1].count(">") if m else 0
+            if held and held[0] != level:
+                passages.append(held)
+                held = None
+            if level:
+                held = (level, [*(held[1] if held else []), mark.sub("", x)])
+        own[c, t] = re.sub(r"^\n+|\n+\Z", "", "\n".join(plain)) if len(plain) < len(lines) else (text or "")
+        quoted[c, t] = (passages, len(lines) - len(plain))
+    said = defaultdict(dict)
+    for (c, t), text in sorted(own.items()):
+        for unit in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]:
+            if norm(unit):
+                said[c].setdefault(norm(unit), t)
+    up, out = {}, {}
+    for (c, t), (passages, _) in quoted.items():
+        found = [(level, kind, -said[c][norm(u)]) for level, body in passages for kind, units in ((0, ["\n".join(body)]), (1, body)) for u in units if said[c].get(norm(u), t) < t]
+        if found:
+            up[c, t] = -min(found)[2]
+    root = lambda c, t: root(c, up[c, t]) if (c, t) in up else t
+    order = defaultdict(list)
+    for c, t in own:
+        order[c].append((root(c, t), t))
+    for c, t in own:
+        out[c, t] = (own[c, t], quoted[c, t][1], up.get((c, t)), root(c, t), 1 + sum(x < (root(c, t), t) for x in order[c]))
+    return out
+
+
+def test_nested_quotes_against_a_plain_version(spark):
+    rng, rows = random.Random(12), []
+    for c in range(60):
+        said = []
+        for t in range(rng.randint(1, 60)):
+            text = []
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if said:
+                    depth, old = rng.randint(1, 3), rng.choice(said).split("\n")
+                    at = rng.randrange(len(old))
+                    marks = rng.choice([">" * depth + " ", "> " * depth, " >" * depth])
+                    text += [marks + x for x in (old if rng.random() < 0.5 else old[at : at + 1])]
+                    text += [rng.choice(["", "Yes.", "No  way"])] * rng.randint(0, 1)
+            body = "\n".join(rng.choice(["Alpha", "beta", "GAMMA delta", "so, what?", "", f"line {rng.randrange(400)}"]) for _ in range(rng.randint(1, 5)))
+            said.append(body)
+            rows.append((c, t, "user", "\n".join([*text, body])))
+    want = plain_links(rows)
+    assert sum(w[2] is not None for w in want.values()) > 300 and max(w[1] for w in want.values()) > 3
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("reply", F.lit(1)).withColumn("kind", F.lit("x"))
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["n_quoted"], r["reply_to"], r["thread_root"], r["position"]) for r in link_quotes(df).collect()}
+    assert got == want
+
+
+def test_very_long_messages(spark):
+    """A message of 40,000 lines whose levels alternate is read in linear time."""
+    long = "\n".join(f"> line {k}" if k % 2 else f"answer {k}" for k in range(40_000))
+    rows = [(1, 0, "u", "\n".join(f"line {k}" for k in range(40_000))), (1, 1, "a", long)]
+    got = {r["turn"]: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1]["reply_to"] == 0 and got[1]["n_quoted"] == 20_000 and got[1]["position"] == 2
+
+
 def test_source_joins_agree(spark):
     """Shipped and salted joins give the same rows."""
     rows = spark.createDataFrame([(k % 7 or None, f"s{k % 3}") for k in range(50)], "doc_id long, key string")

@@ -7,19 +7,20 @@ the first message of the conversation that said it, if that came before.  A mess
 its quotes of the lowest level name, whole passages before single lines, later messages before earlier ones.
 Reply order puts a message behind the start of its thread: by thread_root, then turn.
 
-Defined cases: null texts are empty; messages of null conversation or turn answer nothing; quotes of unknown
+Defined cases: null texts are empty; messages of null conversation or turn answer nothing and have no position; quotes of unknown
 text are removed and link nothing; rows of one conversation and turn answer the same message; blank lines
 around removed quotes are trimmed at the ends of the text only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.exchange import checkpoint
 
 MARKS = r"^\s*(>[\s>]*)"
+TURNS = 1024
 
 
 def _plain(x):  # noqa: ANN001, ANN202
@@ -32,16 +33,20 @@ def _level(line):  # noqa: ANN001, ANN202
 
 
 def _passages(lines):  # noqa: ANN001, ANN202
-    """Consecutive lines of one level above 0, joined."""
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat(F.element_at(acc, -1)["body"], F.lit("\n"), x["body"]).alias("body")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return F.filter(F.aggregate(lines, F.expr("cast(array() AS array<struct<level:int,body:string>>)"), step), lambda x: x["level"] > 0)
+    """Consecutive lines of one level above 0, joined.  lines is a column; the work is linear in their number."""
+    at = lambda i: F.get(lines, i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+    runs = F.filter(F.zip_with(starts, ends, lambda i, j: F.struct(i.alias("i"), j.alias("j"))), lambda r: at(r["i"]) > 0)
+    return F.transform(runs, lambda r: F.struct(at(r["i"]).alias("level"), F.array_join(F.transform(F.slice(lines, r["i"] + 1, r["j"] - r["i"]), lambda x: x["body"]), "\n").alias("body")))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text without quotes, n_quoted (lines), reply_to and thread_root, per message."""
+    """conv_id, turn, role, text without quotes, n_quoted (lines), reply_to, thread_root and position, per message.
+
+    position counts a conversation's messages in reply order from 1: by thread_root, then turn; messages of one
+    turn have the same.
+    """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     lines = F.transform(F.split("raw", "\n"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
     quotes = F.col("raw").rlike(r"(?m)" + MARKS)
@@ -50,7 +55,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     count = F.when(quotes, F.size(F.filter(lines, lambda x: x["level"] > 0))).otherwise(0)
     texts = rows.select("conv_id", "turn", "role", own.alias("text"), count.alias("n_quoted"))
     asking = rows.where(quotes & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    asked = asking.select("conv_id", "turn", F.explode(_passages(lines)).alias("p"))
+    asked = asking.select("conv_id", "turn", lines.alias("lines")).select("conv_id", "turn", F.explode(_passages(F.col("lines"))).alias("p"))
     asked = asked.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("p.body").alias("body"))), F.transform(F.split("p.body", "\n"), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("body"))))).alias("k"))
     asked = checkpoint(asked.select("conv_id", "turn", "level", "k.kind", _plain(F.col("k.body")).alias("body")).where("body <> ''").select("conv_id", "turn", "level", "kind", F.sha2("body", 256).alias("hash")).distinct())
     said = texts.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
@@ -61,7 +66,28 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     reply = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "kind", (-F.col("said")).alias("late"))).alias("b")).select("conv_id", "turn", (-F.col("b.late")).alias("reply_to"))
     reply = checkpoint(reply)
     out = texts.join(reply.join(_roots(reply), ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "text", F.col("n_quoted").cast("int"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"))
+    out = out.select("conv_id", "turn", "role", "text", F.col("n_quoted").cast("int"), "reply_to", F.coalesce("thread_root", "turn").alias("thread_root"))
+    return _positions(out)
+
+
+def _positions(messages: DataFrame) -> DataFrame:
+    """messages with their place in reply order, 1 + the number of messages of the conversation before them.
+
+    Messages are counted by thread and turn; threads are summed in blocks of TURNS roots, and turns of a thread
+    in blocks of TURNS, so that a conversation of any length is many small windows.
+    """
+    block = F.floor(F.col("thread_root") / TURNS)
+    turns = F.floor(F.col("turn") / TURNS)
+    counts = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", block.alias("block"), "thread_root", turns.alias("turns"), "turn").agg(F.count("*").alias("n"))
+    keys, total = ["conv_id", "block", "thread_root", "turns", "turn"], counts
+    for depth in range(len(keys) - 1, 0, -1):
+        # What comes before each key among those that share its upper keys.
+        some = total.groupBy(*keys[: depth + 1]).agg(F.sum("n").alias("n")) if depth < len(keys) - 1 else total
+        before = F.sum("n").over(Window.partitionBy(*keys[:depth]).orderBy(keys[depth]).rowsBetween(Window.unboundedPreceding, -1))
+        level = some.select(*keys[: depth + 1], F.coalesce(before, F.lit(0)).alias(f"before{depth}"))
+        counts = counts.join(level, keys[: depth + 1])
+    place = (F.col("before1") + F.col("before2") + F.col("before3") + F.col("before4") + 1).alias("position")
+    return messages.join(counts.select("conv_id", "turn", place), ["conv_id", "turn"], "left").select(*messages.columns, "position")
 
 
 def _roots(reply: DataFrame) -> DataFrame:

@@ -169,7 +169,8 @@ f AS (SELECT conv_id, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS body
 r AS (SELECT conv_id, turn, first(said ORDER BY level, kind, said DESC) AS reply_to FROM a JOIN f USING (conv_id, body) WHERE body <> '' AND said < turn GROUP BY conv_id, turn),
 c AS (SELECT conv_id, turn, reply_to AS up FROM r UNION ALL SELECT c.conv_id, c.turn, r.reply_to FROM c JOIN r ON r.conv_id = c.conv_id AND r.turn = c.up),
 z AS (SELECT conv_id, turn, min(up) AS thread_root FROM c GROUP BY conv_id, turn)
-SELECT t.conv_id, t.turn, role, text, CAST(n_quoted AS INTEGER) AS n_quoted, reply_to, coalesce(thread_root, t.turn) AS thread_root
+SELECT t.conv_id, t.turn, role, text, CAST(n_quoted AS INTEGER) AS n_quoted, reply_to, coalesce(thread_root, t.turn) AS thread_root,
+  CASE WHEN t.conv_id IS NOT NULL AND t.turn IS NOT NULL THEN rank() OVER (PARTITION BY t.conv_id, t.turn IS NULL ORDER BY coalesce(thread_root, t.turn), t.turn) END AS position
 FROM t LEFT JOIN r USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn)
 """
 

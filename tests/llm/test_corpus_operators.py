@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.llm import html as pages
 from weft.llm.chat import conversations, link_quotes
 from weft.llm.mixing import mix, with_source
-from weft.llm.packing import length_class, optimal_bounds, pack
+from weft.llm.packing import optimal_bounds, pack
 from weft.llm.quality import BLOCK, DICTIONARY, LEVEL, PRIOR, dictionary_of, fit, quality
 from weft.llm.queries import OP10_SQL
 from weft.llm.sharding import SPARE_BITS, shard, write_shards
@@ -53,8 +53,23 @@ def test_packing(spark):
         assert len(b) == 1 or len(b) * b[0]["padded_length"] <= 2000
     assert sum(len({x for x, b in batches.items() if b[0]["bucket"] == k and len(b) < max(1, 2000 // max(1, b[0]["padded_length"]))}) > 1 for k in range(4)) == 0
     assert pack(spark.createDataFrame([], DOCS)).count() == 0
-    classes = spark.range(0, 200000, 7).withColumn("c", length_class(F.col("id")))
-    assert classes.where("c < id OR c > id * 1.005").count() == 0
+
+
+def test_padding_is_least_over_all_lengths(spark):
+    """The padding of a packed corpus is the optimum of a plain programme over every length, long ones too."""
+    rng = random.Random(9)
+    lengths = [rng.choice([3, 50, 1025, 1030, 1500, 2047, 2100, 4099, 9000]) + rng.randrange(9) for _ in range(120)] + [0, 20_011]
+    df = spark.createDataFrame([(i, "w " * n, "s", 0) for i, n in enumerate(lengths)], DOCS)
+    got = pack(df, buckets=6).collect()
+    kinds = sorted(set(lengths))
+    count, best = Counter(lengths), {(-1, 0): 0}
+    for k in range(1, 7):
+        for j in range(len(kinds)):
+            options = [best[i, k - 1] + sum(count[n] * (kinds[j] - n) for n in kinds[i + 1 : j + 1]) for i in range(-1, j) if (i, k - 1) in best]
+            if options:
+                best[j, k] = min(options)
+    assert sum(r["padded_length"] - r["n_tokens"] for r in got) == min(best[len(kinds) - 1, k] for k in range(1, 7) if (len(kinds) - 1, k) in best)
+    assert sorted(r["n_tokens"] for r in got) == sorted(lengths)
 
 
 def targets(sizes):

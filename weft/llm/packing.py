@@ -1,9 +1,10 @@
 """Packing into optimal length buckets.
 
 Dynamic programming over the global histogram of lengths picks the buckets' upper lengths that leave the
-least padding; token-budget batches form inside each bucket.  Lengths up to EXACT are histogram classes of
-their own; greater ones are rounded up to one of EXACT / 2 steps per octave, so the histogram stays small
-whatever the texts are.  Lengths are words unless a length column is given.
+least padding; token-budget batches form inside each bucket.  Every length is a class of its own, so the
+optimum is that of the corpus.  The driver gets one row per distinct length: a corpus of T tokens has fewer
+than sqrt(2 T) of them, and as many as its longest document has tokens at most.  Lengths are words unless a
+length column is given.
 
 Defined cases: null and empty texts have length 0 and go to the first bucket; a text longer than the budget
 is a batch of its own; rows of one id are neighbours.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from weft.llm.exchange import checkpoint
 from weft.llm.mixing import word_count
 
-EXACT, SLOTS = 1024, 50_000
+SLOTS = 50_000
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -60,20 +61,16 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     return out[::-1]
 
 
-def length_class(n):  # noqa: ANN001, ANN201
-    step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - 9).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step).cast("long") * step)
-
-
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 32_768, buckets: int = 16, length_col: str | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_length, batch_id and slot, per row of docs."""
     length = F.coalesce(F.col(length_col).cast("long"), F.lit(0)) if length_col else word_count(text_col)
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens")).withColumn("class", length_class(F.col("n_tokens"))))
-    hist = rows.groupBy("class").count().orderBy("class").collect()
-    bounds = optimal_bounds([r["class"] for r in hist], [r["count"] for r in hist], buckets) or [0]
-    salts = max(1, -(-sum(r["count"] for r in hist) // SLOTS))
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens")))
+    hist = rows.groupBy("n_tokens").count().orderBy("n_tokens").toArrow()
+    lengths, counts = hist["n_tokens"].to_pylist(), hist["count"].to_pylist()
+    bounds = optimal_bounds(lengths, counts, buckets) or [0]
+    salts = max(1, -(-sum(counts) // SLOTS))
     upper = F.array(*[F.lit(int(b)) for b in bounds])
-    rows = rows.withColumn("bucket", F.size(F.filter(upper, lambda b: b < F.col("class")))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("bucket", F.size(F.filter(upper, lambda b: b < F.col("n_tokens")))).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     counts = rows.groupBy("bucket", "salt").count()
     before = F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offset = counts.select("bucket", "salt", F.coalesce(before, F.lit(0)).alias("offset"))

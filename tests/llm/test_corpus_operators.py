@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
+from tests.llm.written_pages import PAGES as WRITTEN
 from weft.llm import html as pages
 from weft.llm.chat import conversations, link_quotes
 from weft.llm.mixing import mix, with_source
@@ -264,6 +266,39 @@ def test_html_held_out_pages():
     assert right >= 0.98 * total
 
 
+def test_written_pages():
+    """Blocks of pages written by hand, outside the grammar."""
+    right = extra = missing = 0
+    for page, want in WRITTEN:
+        got = Counter(x for x in pages.main_blocks([pages.blocks(page)], pages.trained())[0].split("\n") if x)
+        right += sum((got & Counter(want)).values())
+        extra += sum((got - Counter(want)).values())
+        missing += sum((Counter(want) - got).values())
+    assert 2 * right / (2 * right + extra + missing) >= 0.93
+
+
+def test_malformed_pages_take_linear_time():
+    began = time.time()
+    for page in ("<a " * 400_000, "<a '>' " * 100_000, "<!" * 300_000, '<a "' * 200_001, "<" * 500_000, "<script>" * 100_000, "<div>" * 100_000 + "x" + "</p>" * 100_000 + "</div>" * 100_000):
+        pages.blocks(page)
+    assert time.time() - began < 20
+    deep = pages.blocks("<div class=a>" * 20_000 + "x")
+    assert len(deep) == 1 and deep[0][0].count(" ") == pages.DEPTH - 1
+    assert [b[1] for b in pages.blocks("<p>a <b title=\"x>y\">b</b></p><p title='>c</p><p>d")] == ["a b", "c", "d"]
+    assert [b[1] for b in pages.blocks("<p hidden>a</p><div style='color:red;display : none'>b<p>c</div>d<p class=hidden>e <i hidden>f<i>g</i>h</i> i")] == ["d", "e i"]
+
+
+def test_long_pages_are_labelled_in_pieces():
+    rng, page = np.random.default_rng(6), []
+    while len(page) < 700:
+        page += pages.blocks(pages.training_page(rng)[0])
+    x, mask = pages.padded(pages.vectors([page]), [len(page)])
+    whole = pages.trained().logits(x, mask)[:, 0]
+    assert np.allclose(pages.trained().long_logits(page, 64), whole, atol=1e-3)
+    long = "<body>" + "<p>A paragraph of some words, and then a few more of them.</p>" * (pages.LONG + 10)
+    assert pages.main_blocks([pages.blocks(long), []], pages.trained())[1] == ""
+
+
 def test_html_gradients():
     rng = np.random.default_rng(5)
     net, x = pages.Labeller(6, 1), rng.standard_normal((4, 3, 6))

@@ -98,6 +98,40 @@ def session_inflate(df: DataFrame, session: str, order: str, wire: str = "wire",
     return cols.groupBy(session).applyInPandas(run, cols.select(session, order).schema.add("text", "string").add("failed", "string"))
 
 
+def token_session_deflate(df: DataFrame, session: str, order: str, payload: str, level: int = 3) -> DataFrame:
+    """Token frames, then one deflate window over them, per session: words by number, numbers by the window."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        z = zlib.compressobj(level, zlib.DEFLATED, -15)
+        return pdf[[session, order]].assign(wire=[z.compress(f) + z.flush(zlib.Z_SYNC_FLUSH) for f in tokens_encode([t or "" for t in pdf[payload]])])
+
+    cols = df.select(session, order, payload)
+    return cols.groupBy(session).applyInPandas(run, cols.select(session, order).schema.add("wire", "binary"))
+
+
+def token_session_inflate(df: DataFrame, session: str, order: str, wire: str = "wire") -> DataFrame:
+    """Inverse of token_session_deflate; from a bad frame on, texts are null and failed says why."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, frames, failed = pdf.sort_values(order), [], None
+        z = zlib.decompressobj(-15)
+        for w in pdf[wire]:
+            try:
+                if not bytes(w).endswith(TAIL):
+                    raise ValueError("frame is not flushed")
+                frames.append(z.decompress(bytes(w)))
+            except (ValueError, zlib.error) as e:
+                failed = str(e)
+                break
+        texts = tokens_decode(frames)
+        lost = len(pdf) - len(texts)
+        return pdf[[session, order]].assign(text=texts + [None] * lost, failed=[None] * len(texts) + [failed] * lost)
+
+    cols = df.select(session, order, wire)
+    return cols.groupBy(session).applyInPandas(run, cols.select(session, order).schema.add("text", "string").add("failed", "string"))
+
+
 def tokens_encode(texts: list[str], least: int = 6, most: int = 4096) -> list[bytes]:
     """Words of a session by table number once seen: 0x01 varint for known ones, 0x00 varint bytes otherwise."""
     table: dict[str, int] = {}

@@ -158,6 +158,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "msgs").select("conv_id", "turn", encode("text").alias("frame")).select("conv_id", "turn", decode("frame").alias("text"))
 
 
+def compressed(text: Column, method: Column) -> Column:
+    """The frame of a text under the method named: raw, deflate, token or best; an unknown name is an error."""
+
+    def run(texts: pd.Series, methods: pd.Series) -> pd.Series:
+        out = []
+        for t, m in zip(texts, methods, strict=True):
+            raw = (t or "").encode()
+            if m not in ("raw", "deflate", "token", "best"):
+                raise ValueError(f"no method {m}")
+            out.append(best_method(t or "")[0] if m == "best" else b"\x00" + raw if m == "raw" else b"\x01" + zlib.compress(raw, 6) if m == "deflate" else b"\x02" + codecs.tokens_encode([t or ""])[0])
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "binary")(text, method)
+
+
+@query("sup_explicit_method", "SELECT conv_id, turn, turn % 4 AS byte_or_best, text FROM msgs WHERE turn % 4 < 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Messages framed by the method that their turn names; the first byte tells it again."""
+    method = F.element_at(F.array(F.lit("raw"), F.lit("deflate"), F.lit("token")), (F.col("turn") % 4 + 1).cast("int"))
+    frames = read(spark, d, "msgs").where("turn % 4 < 3").select("conv_id", "turn", compressed(F.col("text"), method).alias("frame"))
+    decode = F.pandas_udf(lambda s: s.map(decode_any), "string")
+    return frames.select("conv_id", "turn", F.conv(F.hex(F.substring("frame", 1, 1)), 16, 10).cast("long").alias("byte_or_best"), decode("frame").alias("text"))
+
+
+@query("cod_token_deflate_roundtrip", "SELECT conv_id, turn, text FROM msgs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    wire = codecs.token_session_deflate(read(spark, d, "msgs"), "conv_id", "turn", "text")
+    return codecs.token_session_inflate(wire, "conv_id", "turn").select("conv_id", "turn", "text")
+
+
 @query("cod_token_roundtrip", "SELECT conv_id, turn, text FROM msgs")
 def _(spark: SparkSession, d: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

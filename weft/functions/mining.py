@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions import codecs
@@ -203,7 +203,33 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("chunks"), F.count_distinct("user_id").alias("templates"), F.sum("compressed_size").alias("payload"), F.round(F.stddev_samp(r), 6).alias("spread"))
 
 
-@query("sup_modeled_delay")
+@query("sup_modeled_delay", "SELECT run, CASE WHEN x % 1000 < 20 THEN 250.0::DOUBLE ELSE round(5 + 20 * (x // 1000) / 1000000.0::DOUBLE, 6) END AS delay_ms FROM (SELECT run, CAST('0x' || substr(md5('delay' || run), 1, 8) AS BIGINT) % 1000000000 AS x FROM runs)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Upstream delay: mostly short, with a rare long tail."""
-    return read(spark, d, "runs").select("run", F.when(F.rand(7) < 0.02, 250.0).otherwise(5 + 20 * F.rand(8)).alias("delay_ms"))
+    """Upstream delay: mostly short, with a rare long tail; drawn from the run's hash, so that reruns agree."""
+    x = F.conv(F.substring(F.md5(F.concat(F.lit("delay"), F.col("run").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 1_000_000_000
+    return read(spark, d, "runs").select("run", x.alias("x")).select("run", F.when(F.col("x") % 1000 < 20, 250.0).otherwise(F.round(5 + 20 * F.expr("x div 1000") / 1_000_000.0, 6)).alias("delay_ms"))
+
+
+def dictionary_matrix(msgs: DataFrame, session: str, order: str, scope: str, text: str, fixed: bytes = b"assistant user request response status result error message function session", size: int = 512) -> DataFrame:
+    """scope, dictionary, frames, raw, wire and ratio: each session's frames deflated under each dictionary.
+
+    The third dictionary holds the scope's most saving words, best last.  They are at most size bytes a scope and
+    are shipped with the rows of that scope.
+    """
+    words = msgs.select(scope, F.explode(F.split(text, r"\s+")).alias("w")).where("length(w) >= 4").groupBy(scope, "w").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy(scope).orderBy(F.desc(F.col("n") * (F.octet_length("w") - 2)), "w"))
+    best = words.withColumn("k", rank).where(f"k <= {size // 4}").groupBy(scope).agg(F.array_join(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("k", "w")))), lambda x: x["w"]), " ").alias("own"))
+    rows = msgs.select(scope, session, order, text).join(best, scope, "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        frames, own = [(t or "").encode() for t in pdf[text]], (pdf["own"].iloc[0] or "").encode()[-size:]
+        out = []
+        for name, d in (("none", b""), ("fixed", fixed), ("own", own)):
+            z = zlib.compressobj(3, zlib.DEFLATED, -15, zdict=d) if d else zlib.compressobj(3, zlib.DEFLATED, -15)
+            out.append((pdf[scope].iloc[0], name, len(frames), sum(map(len, frames)), sum(len(z.compress(f) + z.flush(zlib.Z_SYNC_FLUSH)) for f in frames)))
+        return pd.DataFrame(out, columns=[scope, "dictionary", "frames", "raw", "wire"])
+
+    each = rows.groupBy(scope, session).applyInPandas(run, f"{scope} string, dictionary string, frames long, raw long, wire long")
+    g = each.groupBy(scope, "dictionary").agg(F.sum("frames").alias("frames"), F.sum("raw").alias("raw"), F.sum("wire").alias("wire"))
+    return g.withColumn("ratio", F.try_divide("raw", "wire"))

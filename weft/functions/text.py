@@ -61,10 +61,27 @@ def rolling_hash3(column: str) -> Column:
 
 
 def parse_call(text: Column) -> Column:
-    """(function, id, hint) of name(k=v) calls of the known functions."""
-    name = F.regexp_extract(text, r"\b(" + "|".join(FUNCTIONS) + r")\s*\(([^)]*)\)", 1)
+    """(function, id, hint, args) of a call in a text, or null.
+
+    The first form that fits counts: a JSON object with a function, such an object inside the text, name(key=value)
+    with a known name, or a known name in words.  Names unknown to the table have null id and hint.
+    """
     ids = F.create_map(*[x for k, (i, h) in FUNCTIONS.items() for x in (F.lit(k), F.struct(F.lit(i).alias("id"), F.lit(h).alias("hint")))])
-    return F.when(name != "", F.struct(name.alias("function"), ids[name]["id"].alias("id"), ids[name]["hint"].alias("hint")))
+    strings = "map<string,string>"
+
+    def from_json(body: Column) -> tuple[Column, Column]:
+        args = F.coalesce(F.get_json_object(body, "$.args"), F.get_json_object(body, "$.arguments"))
+        return F.get_json_object(body, "$.function"), F.from_json(args, strings)
+
+    whole, inner = F.trim(text), F.regexp_extract(text, r'(?s)(\{.*"function".*\})', 1)
+    name, body = F.regexp_extract(text, r"(\w+)\s*\((.*?)\)", 1), F.regexp_extract(text, r"(\w+)\s*\((.*?)\)", 2)
+    pairs = F.filter(F.split(body, ","), lambda x: x.contains("="))
+    key, value = lambda x: F.trim(F.substring_index(x, "=", 1)), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, "^[^=]*=", "")), "^[\"']+|[\"']+$", "")
+    said = F.coalesce(*[F.when(F.lower(text).contains(k.replace("_", " ")), k) for k in FUNCTIONS])
+    forms = [from_json(F.when(F.try_parse_json(whole).isNotNull(), whole)), from_json(F.when(F.try_parse_json(whole).isNull() & F.try_parse_json(inner).isNotNull(), inner))]
+    forms += [(F.when(name.isin(*FUNCTIONS), name), F.map_from_entries(F.transform(pairs, lambda x: F.struct(key(x), value(x))))), (said, parameters(text))]
+    call = lambda n, a: F.when(n.isNotNull() & (n != ""), F.struct(n.alias("function"), ids[n]["id"].alias("id"), ids[n]["hint"].alias("hint"), F.coalesce(a, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("args")))
+    return F.coalesce(*[call(n, a) for n, a in forms])
 
 
 def parameters(text: Column) -> Column:
@@ -110,9 +127,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("conv_id", "turn", looks_structured(F.col("t")).alias("structured"))
 
 
-@query("fn_parse_call", f"SELECT conv_id, turn, 'get_status' AS function, 10 AS id, 'status_service' AS hint FROM {TEXTS} WHERE contains(t, 'get_status(')")
+CALLS = """(SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN '{"function": "query_database", "args": {"table": "' || role || '"}}' WHEN 1 THEN 'Please run {"function": "unheard_of", "arguments": {"n": "' || turn || '"}} now' WHEN 2 THEN 'Call get_status(id=' || turn || ', mode="' || role || '") soon'
+ WHEN 3 THEN 'Could you Schedule Job "' || role || '" for me' WHEN 4 THEN 'print(x=1) and more' WHEN 5 THEN '{"other": 1}' WHEN 6 THEN text ELSE 'validate_input (a=1) then get_status(b=2)' END AS t FROM msgs)"""
+
+
+@query("fn_parse_call", f"""SELECT conv_id, turn, name AS function, list_position(['execute_task', 'query_database', 'call_api', 'process_data', 'generate_response', 'validate_input', 'transform_data', 'send_notification', 'schedule_job', 'get_status'], name) AS id, arg FROM (
+ SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'query_database' WHEN 1 THEN 'unheard_of' WHEN 2 THEN 'get_status' WHEN 3 THEN 'schedule_job' WHEN 7 THEN 'validate_input' END AS name,
+ CASE turn % 8 WHEN 0 THEN regexp_extract(t, '"table": "([^"]*)"', 1) WHEN 1 THEN CAST(turn AS VARCHAR) WHEN 2 THEN regexp_extract(t, 'mode="([^"]*)"', 1) WHEN 3 THEN regexp_extract(t, '"([^"]*)"', 1) ELSE '1' END AS arg FROM {CALLS}) WHERE name IS NOT NULL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("conv_id", "turn", parse_call(F.col("t")).alias("c")).where("c IS NOT NULL").select("conv_id", "turn", "c.*")
+    t = read(spark, d, "msgs").selectExpr("conv_id", "turn", CALLS[len("(SELECT conv_id, turn, ") : -len(" FROM msgs)")])
+    c = t.select("conv_id", "turn", parse_call(F.col("t")).alias("c")).where("c IS NOT NULL").select("conv_id", "turn", "c.*")
+    first = F.coalesce(*[F.try_element_at("args", F.lit(k)) for k in ("table", "n", "mode", "param_0", "a")])
+    return c.select("conv_id", "turn", "function", "id", first.alias("arg"))
 
 
 @query("fn_parameters", rf"""SELECT conv_id, turn, trim(list_filter(named, lambda z: z[1] = 'mode')[-1][2]) AS mode, trim(list_filter(named, lambda z: z[1] = 'name')[-1][2]) AS name, quoted[1] AS param_0
@@ -139,11 +165,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(s.alias("s")).select("s", (F.coalesce(unit, F.lit(1)).cast("bigint") * F.regexp_extract("s", "[0-9]+", 0).cast("bigint")).alias("bytes"))
 
 
-@query("fn_common_affixes", "SELECT p_brand, min(p_type) AS a, max(p_type) AS b, length(min(p_type)) - length(ltrim(min(p_type))) AS pad FROM part GROUP BY p_brand")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").groupBy("p_brand").agg(F.min("p_type").alias("a"), F.max("p_type").alias("b")).withColumn("pad", F.length("a") - F.length(F.ltrim("a")))
-
-
 def common_prefix(low: Column, high: Column) -> Column:
     """Longest common prefix of a set of strings, from its least and greatest."""
     n = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(low), F.length(high)))), lambda i: F.left(low, i) == F.left(high, i)), lambda x: x))

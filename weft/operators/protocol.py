@@ -138,16 +138,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return last.select("event_type", F.round(F.aggregate("xs", F.lit(0.0), lambda w, x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), w + 0.1 * x["step"]))), 6).alias("weight"))
 
 
-@query("agg_cache_stats", "SELECT count(*) AS entries, round(avg(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END), 9) AS hit_rate, count(*) FILTER (compressed_size > 600) AS evictions FROM audit")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "audit").agg(F.count("*").alias("entries"), F.round(F.avg((F.col("id") % 3 == 0).cast("int")), 9).alias("hit_rate"), F.count_if(F.col("compressed_size") > 600).alias("evictions"))
-
-
-@query("agg_accelerator", "SELECT round(avg(latency_ms), 6) AS mean_ms, round(13.0 / avg(latency_ms), 6) AS speedup, count(*) FILTER (latency_ms < 1) AS hits FROM audit")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "audit").agg(F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.round(13.0 / F.avg("latency_ms"), 6).alias("speedup"), F.count_if(F.col("latency_ms") < 1).alias("hits"))
-
-
 @query("agg_corpus_digest", "SELECT conv_id, sha256(string_agg(printf('%016x', strlen(text)) || text, '' ORDER BY turn)) AS digest FROM msgs GROUP BY conv_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Length-prefixed messages of a conversation, in order, hashed as one."""
@@ -185,39 +175,76 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lru(df: DataFrame, key: str, order: str, item: str, size: int) -> DataFrame:
-    """Hit or miss of each access to a least-recently-used cache of size items per key."""
+    """hit, evicted (an item had to go) and held (items afterwards) of each access to a least-recently-used cache per key."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, held, hits = pdf.sort_values(order), {}, []
+        pdf, held, out = pdf.sort_values(order), {}, []
         for x in pdf[item]:
-            hits.append(x in held)
+            hit = x in held
             held.pop(x, None)
             held[x] = None
-            if len(held) > size:
+            evicted = len(held) > size
+            if evicted:
                 held.pop(next(iter(held)))
-        return pdf[[key, order]].assign(hit=hits)
+            out.append((hit, evicted, len(held)))
+        return pdf[[key, order]].assign(hit=[x[0] for x in out], evicted=[x[1] for x in out], held=[x[2] for x in out])
 
     cols = df.select(key, order, item)
-    return cols.groupBy(key).applyInPandas(run, cols.select(key, order).schema.add("hit", "boolean"))
+    return cols.groupBy(key).applyInPandas(run, cols.select(key, order).schema.add("hit", "boolean").add("evicted", "boolean").add("held", "integer"))
+
+
+# Stack distances: an access hits if fewer than three other items came since the last one of its own.
+_HITS = """SELECT a.session_id, a.id, a.user_id, a.latency_ms, coalesce(p.last IS NOT NULL AND (SELECT count(DISTINCT b.user_id) FROM audit b WHERE b.session_id = a.session_id AND b.id < a.id AND b.id > p.last) < 3, false) AS hit
+ FROM audit a LEFT JOIN (SELECT x.id AS at, max(y.id) AS last FROM audit x JOIN audit y ON x.session_id = y.session_id AND x.user_id = y.user_id AND y.id < x.id GROUP BY x.id) p ON p.at = a.id"""
+
+
+@query("win_lru_hits", f"SELECT session_id, id, hit FROM ({_HITS})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return lru(read(spark, d, "audit"), "session_id", "id", "user_id", 3).select("session_id", "id", "hit")
+
+
+@query("agg_cache_stats", f"""SELECT session_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 9) AS hit_rate, least(3, count(DISTINCT user_id)) AS size,
+ count(*) FILTER (NOT hit) - least(3, count(DISTINCT user_id)) AS evictions FROM ({_HITS}) GROUP BY session_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of three users per session, replayed over the audit log."""
+    got = lru(read(spark, d, "audit"), "session_id", "id", "user_id", 3).groupBy("session_id")
+    hits, misses = F.count_if("hit"), F.count_if(~F.col("hit"))
+    return got.agg(hits.alias("hits"), misses.alias("misses"), F.round(hits / F.count("*"), 9).alias("hit_rate"), F.max_by("held", "id").cast("long").alias("size"), F.count_if("evicted").alias("evictions"))
 
 
-@query("win_lru_hits", "SELECT session_id, id, coalesce((SELECT count(DISTINCT b.user_id) FROM audit b WHERE b.session_id = a.session_id AND b.id < a.id AND b.id > p.last) < 3, false) AS hit FROM audit a LEFT JOIN (SELECT x.id AS at, max(y.id) AS last FROM audit x JOIN audit y ON x.session_id = y.session_id AND x.user_id = y.user_id AND y.id < x.id GROUP BY x.id) p ON p.at = a.id WHERE p.last IS NOT NULL")
+@query("agg_accelerator", f"""SELECT count(*) AS messages, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 9) AS hit_rate, round(avg(latency_ms) FILTER (hit), 6) AS mean_ms,
+ round(13.0 / avg(latency_ms) FILTER (hit), 6) AS speedup FROM ({_HITS})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the session caches, their mean latency and what that is against a base of 13 ms."""
     a = read(spark, d, "audit")
-    got = lru(a, "session_id", "id", "user_id", 3)
-    first = a.groupBy("session_id", "user_id").agg(F.min("id").alias("id"))
-    return got.join(first, ["session_id", "id"], "left_anti").select("session_id", "id", "hit")
+    got = lru(a, "session_id", "id", "user_id", 3).join(a.select("id", "latency_ms"), "id")
+    hits, mean = F.count_if("hit"), F.avg(F.when(F.col("hit"), F.col("latency_ms")))
+    return got.agg(F.count("*").alias("messages"), hits.alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(hits / F.count("*"), 9).alias("hit_rate"), F.round(mean, 6).alias("mean_ms"), F.round(13.0 / mean, 6).alias("speedup"))
 
 
-@query("str_resume_negotiation", "SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'view') = 0 THEN 'fresh' WHEN max(event_id) FILTER (event_type = 'view') % 2 = 0 THEN 'resumed' ELSE 'unknown_state' END AS answer FROM events GROUP BY user_id")
+@query("str_resume_negotiation", """WITH s AS (SELECT user_id % 50 AS peer, event_id % 11 AS state, count(*) AS n, max(event_id) AS entry FROM events WHERE event_type = 'view' GROUP BY ALL),
+o AS (SELECT user_id, unnest([1, 2, 3]) AS place, unnest([user_id % 11, (user_id * 3 + 1) % 11, (user_id * 7 + 4) % 11]) AS state FROM (SELECT DISTINCT user_id FROM events)),
+m AS (SELECT o.user_id, place, n, entry FROM o JOIN s ON s.peer = o.user_id % 50 AND s.state = o.state)
+SELECT u.user_id, CASE WHEN min_by(n, place) IS NULL THEN 'fresh' WHEN min_by(n, place) > 1 THEN 'ambiguous' ELSE 'resumed' END AS answer, CASE WHEN min_by(n, place) = 1 THEN min_by(entry, place) END AS entry
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id) GROUP BY u.user_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("state"))
-    return e.select("user_id", F.when(F.col("state").isNull(), "fresh").when(F.col("state") % 2 == 0, "resumed").otherwise("unknown_state").alias("answer"))
+    """The first offered state that the peer's store has; several entries for it are an error, none is a fresh start."""
+    e = read(spark, d, "events")
+    store = e.where("event_type = 'view'").groupBy((F.col("user_id") % 50).alias("peer"), (F.col("event_id") % 11).alias("state")).agg(F.count("*").alias("n"), F.max("event_id").alias("entry"))
+    users = e.select("user_id").distinct()
+    offers = users.select("user_id", (F.col("user_id") % 50).alias("peer"), F.posexplode(F.expr("array(user_id % 11, (user_id * 3 + 1) % 11, (user_id * 7 + 4) % 11)")).alias("place", "state"))
+    first = offers.join(store, ["peer", "state"]).groupBy("user_id").agg(F.min(F.struct("place", "n", "entry")).alias("m"))
+    answer = F.when(F.col("m").isNull(), "fresh").when(F.col("m.n") > 1, "ambiguous").otherwise("resumed")
+    return users.join(first, "user_id", "left").select("user_id", answer.alias("answer"), F.when(F.col("m.n") == 1, F.col("m.entry")).alias("entry"))
 
 
-@query("str_cache_promotion", "SELECT user_id, event_type, count(*) AS uses, count(*) >= 5 AS platform_wide FROM events GROUP BY user_id, event_type")
+@query("str_cache_promotion", """SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 THEN 'session' WHEN row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 1 THEN 'promoted' ELSE 'miss' END AS answer FROM events""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("uses")).withColumn("platform_wide", F.col("uses") >= 5)
+    """Where each access finds its signature: the session's cache, the platform's (and then the session's too), or nowhere."""
+    e = read(spark, d, "events")
+    platform = e.groupBy("event_type").agg(F.min("event_id").alias("first"))
+    k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    return e.withColumn("k", k).join(platform, "event_type").select("event_id", F.when(F.col("k") > 1, "session").when(F.col("event_id") > F.col("first"), "promoted").otherwise("miss").alias("answer"))
 
 
 @query("udf_route_handlers", "SELECT id, CASE WHEN event_type = 'click' THEN upper(entry_id) WHEN event_type = 'view' THEN reverse(entry_id) ELSE entry_id END AS handled FROM audit")

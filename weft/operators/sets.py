@@ -27,10 +27,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").select("run", F.array_max(F.array_intersect(mine, theirs)).alias("version"))
 
 
-@query("set_union_no_conflict", "SELECT p_brand, count(DISTINCT p_type) AS patterns FROM part GROUP BY p_brand")
+@query("set_union_no_conflict", """WITH a AS (SELECT DISTINCT p_size AS session, p_partkey % 400 AS id, CASE WHEN p_size % 2 = 0 OR p_partkey % 400 < 300 THEN 'template ' || p_partkey % 400 ELSE p_type END AS pattern FROM part)
+SELECT id, CASE WHEN count(DISTINCT pattern) = 1 THEN min(pattern) END AS pattern, count(DISTINCT pattern) > 1 AS conflict, count(DISTINCT session) AS sessions FROM a GROUP BY id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select("p_brand", "p_type")
-    return p.where("p_brand < 'Brand#3'").unionByName(p.where("p_brand >= 'Brand#3'")).distinct().groupBy("p_brand").agg(F.count("*").alias("patterns"))
+    """Sessions' template maps united; an id for which they have different patterns is a conflict and has none."""
+    p = read(spark, d, "part").withColumn("id", F.col("p_partkey") % 400)
+    same = F.concat(F.lit("template "), F.col("id").cast("string"))
+    even, odd = p.where("p_size % 2 = 0").select("p_size", "id", same.alias("pattern")), p.where("p_size % 2 <> 0").select("p_size", "id", F.when(F.col("id") < 300, same).otherwise(F.col("p_type")).alias("pattern"))
+    of = even.unionByName(odd).groupBy("id").agg(F.min("pattern").alias("a"), F.max("pattern").alias("b"), F.count_distinct("p_size").alias("sessions"))
+    return of.select("id", F.when(F.col("a") == F.col("b"), F.col("a")).alias("pattern"), (F.col("a") != F.col("b")).alias("conflict"), "sessions")
 
 
 @query("set_dedup_terms", "SELECT DISTINCT role, text FROM msgs")
@@ -61,9 +66,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "ps")))
 
 
-@query("srt_retire", "SELECT p_partkey, p_size FROM part WHERE p_size < 10 OR p_retailprice > 1500 ORDER BY p_size, p_retailprice")
+@query("srt_retire", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey) - 1 AS place FROM part WHERE p_size < 10 OR p_retailprice > 1500")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").where("p_size < 10 OR p_retailprice > 1500").orderBy("p_size", "p_retailprice").select("p_partkey", "p_size")
+    from weft.operators.windows import numbered
+
+    return numbered(read(spark, d, "part").where("p_size < 10 OR p_retailprice > 1500"), ["p_size"], ["p_retailprice", "p_partkey"], "place").select("p_partkey", "p_size", "place")
 
 
 @query("srt_cold_cap", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) WHERE k <= 10")

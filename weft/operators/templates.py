@@ -7,7 +7,7 @@ import string
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.registry import query, read
@@ -64,6 +64,18 @@ def spans(df: DataFrame, keys: list[str], text: str, literals: list[tuple[int, s
     return cols.mapInPandas(run, cols.select(*keys).schema.add("template_id", "long").add("start_at", "long").add("end_at", "long"))
 
 
+def longest_span(df: DataFrame, keys: list[str], text: str, templates: list[tuple[int, str]]) -> DataFrame:
+    """keys, template_id, start_at and end_at of the longest partial match; slots reach as far as they can."""
+    found = []
+    for tid, pattern in templates:
+        rx = slot_regex(pattern).replace("(.+?)", "(?:.+)")
+        part = F.regexp_extract(text, "(" + rx + ")", 1)
+        start = F.instr(F.col(text), part) - 1
+        found.append(F.when(F.col(text).rlike(rx), F.struct(F.length(part).alias("n"), (-start).alias("before"), F.lit(-tid).alias("order"))))
+    best = df.select(*keys, F.array_max(F.array_compact(F.array(*found))).alias("m")).where("m IS NOT NULL")
+    return best.select(*keys, (-F.col("m.order")).cast("long").alias("template_id"), (-F.col("m.before")).cast("long").alias("start_at"), (F.col("m.n") - F.col("m.before")).cast("long").alias("end_at"))
+
+
 PATTERNS = [(1, "{0}ANODIZED {1}"), (2, "{0} PLATED {1}"), (3, "STANDARD {0}"), (4, "{0} {1}")]
 
 
@@ -89,19 +101,3 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("the "), "p_brand", F.lit(" part")).alias("t"))
     return spans(p, ["p_partkey"], "t", [(9, "Brand#11"), (9, "Brand#12")])
-
-
-@query("str_discover_templates", "WITH t AS (SELECT regexp_replace(text, '[0-9]+', '{0}', 'g') AS pattern, count(*) AS frequency FROM (SELECT p_brand || ' size ' || p_size AS text FROM part) GROUP BY 1) SELECT pattern, frequency, row_number() OVER (ORDER BY frequency DESC, pattern) AS template_id FROM t WHERE frequency >= 3 AND length(pattern) >= 10")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Cluster by the text without its numbers, keep frequent harmless patterns, number them by rank."""
-    from weft.functions.text import is_harmless
-
-    t = read(spark, d, "part").select(F.regexp_replace(F.concat("p_brand", F.lit(" size "), F.col("p_size").cast("string")), "[0-9]+", "{0}").alias("pattern"))
-    c = t.groupBy("pattern").agg(F.count("*").alias("frequency")).where("frequency >= 3 AND length(pattern) >= 10").where(is_harmless(F.col("pattern"), F.array("pattern")))
-    return c.withColumn("template_id", F.row_number().over(Window.orderBy(F.desc("frequency"), "pattern")))
-
-
-@query("str_retire_templates", "SELECT p_partkey, CASE WHEN p_size < 10 OR p_retailprice % 60 > 30 THEN 'cold' ELSE 'hot' END AS tier FROM part")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Little used or long unused templates go to the cold store."""
-    return read(spark, d, "part").select("p_partkey", F.when((F.col("p_size") < 10) | (F.col("p_retailprice") % 60 > 30), "cold").otherwise("hot").alias("tier"))

@@ -88,11 +88,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("conv_id", "turn", "n", "g").count().groupBy("conv_id", "turn").agg(F.round(F.least(F.lit(1.0), F.max("count") / (F.max("n") - 2) * 3), 6).alias("repetition"))
 
 
-@query("win_rolling_hash3", "SELECT item_id, len(list_transform(range(1, strlen(text) - 1), lambda i: i)) AS n_hashes, strlen(text) AS bytes FROM benchmark")
+_BYTE = "CAST('0x' || substr(hex(encode(text)), 2 * (i + {k}) + 1, 2) AS BIGINT)"
+_STEP = "((xor({h}, {b}) * 16777619) & 4294967295)"
+_HASH = _STEP.format(h=_STEP.format(h=_STEP.format(h="2166136261", b=_BYTE.format(k=0)), b=_BYTE.format(k=1)), b=_BYTE.format(k=2))
+
+
+@query("win_rolling_hash3", f"SELECT item_id, CASE WHEN strlen(text) >= 3 THEN array_to_string(list_transform(range(0, strlen(text) - 2), lambda i: {_HASH}), ',') ELSE '' END AS hashes FROM benchmark")
 def _(spark: SparkSession, d: str) -> DataFrame:
     from weft.functions.text import rolling_hash3
 
-    return read(spark, d, "benchmark").select("item_id", F.size(rolling_hash3("text")).cast("long").alias("n_hashes"), F.octet_length("text").cast("long").alias("bytes"))
+    return read(spark, d, "benchmark").select("item_id", F.array_join(rolling_hash3("text").cast("array<string>"), ",").alias("hashes"))
 
 
 @query("agg_least_loaded_workers", None)

@@ -36,9 +36,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.col("original_size") / F.col("compressed_size")), 6).alias("mean_ratio"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"))
 
 
-@query("agg_template_cache", "SELECT count(*) AS entries, count(*) FILTER (method IS NOT NULL) AS matched, count(*) FILTER (method IS NULL) AS missed FROM audit")
+@query("agg_template_cache", "SELECT count(*) AS size, round(count(*) FILTER (regexp_matches(p_name, '^red .+$') OR regexp_matches(p_name, '^.+ ring$')) / count(*), 9) AS hit_rate, 2 AS library FROM (SELECT DISTINCT p_name FROM part)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "audit").agg(F.count("*").alias("entries"), F.count("method").alias("matched"), F.count_if(F.col("method").isNull()).alias("missed"))
+    """A match cache holds one outcome per text, a match or none; its hit rate is the share of matches."""
+    from weft.operators.templates import match_templates
+
+    library = [(1, "red {0}"), (2, "{0} ring")]
+    cache = match_templates(read(spark, d, "part").select("p_name").distinct(), "p_name", library)
+    return cache.agg(F.count("*").alias("size"), F.round(F.count("match") / F.count("*"), 9).alias("hit_rate"), F.lit(len(library)).alias("library"))
 
 
 @query("agg_char_entropy", "WITH s AS (SELECT item_id, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 333) || substr(text, length(text) // 2 - 165, 332) || right(text, 333) END AS t FROM benchmark), c AS (SELECT item_id, ch, count(*) AS n FROM (SELECT item_id, unnest(string_split(t, '')) AS ch FROM s) GROUP BY ALL) SELECT item_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c GROUP BY item_id")
@@ -69,9 +74,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").select("id", F.transform(F.filter(tokens, lambda t: t["tag"] == "template"), lambda t: t["value"]).alias("templates"))
 
 
-@query("srt_longest_match", "SELECT session_id, max_by(id, (original_size - compressed_size, id)) AS longest FROM audit GROUP BY session_id")
+@query("srt_longest_match", """SELECT p_partkey, max_by(id, (b - a, -a, -id)) AS template_id, max(b - a) AS length FROM (SELECT p_partkey, 1 AS id, 0 AS a, length(p_name) AS b FROM part WHERE regexp_full_match(p_name, '(?i)red .+')
+ UNION ALL SELECT p_partkey, 2, strpos(p_name, ' ') , length(p_name) FROM part WHERE p_name LIKE '% ring' UNION ALL SELECT p_partkey, 3, 0, strpos(p_name, ' ') - 1 FROM part WHERE p_name LIKE 'small %') GROUP BY p_partkey""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "audit").groupBy("session_id").agg(F.max_by("id", F.struct(F.col("original_size") - F.col("compressed_size"), "id")).alias("longest"))
+    """Of the templates found inside a text, the one that covers most; of equal ones the first, then the smaller id."""
+    from weft.operators.templates import longest_span
+
+    return longest_span(read(spark, d, "part"), ["p_partkey"], "p_name", [(1, "red {0}"), (2, "ring"), (3, "small")]).select("p_partkey", "template_id", (F.col("end_at") - F.col("start_at")).alias("length"))
 
 
 @query("srt_first_errors", "SELECT session_id, list_slice(list(id ORDER BY id), 1, 5) AS first_errors FROM audit WHERE kind = 'compression_failure' GROUP BY session_id")

@@ -15,9 +15,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return g.select("codec", F.round((F.col("b") + setup) / F.col("n"), 6).alias("bytes_per_exchange"), F.round(setup / (F.col("b") + setup), 9).alias("setup_share"))
 
 
-@query("agg_dictionary_matrix", "SELECT p_brand, p_size % 3 AS scope, count(*) AS frames, CAST(sum(length(p_type)) AS BIGINT) AS raw FROM part GROUP BY ALL")
+@query("agg_dictionary_matrix")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").groupBy("p_brand", (F.col("p_size") % 3).alias("scope")).agg(F.count("*").alias("frames"), F.sum(F.length("p_type")).alias("raw"))
+    """Bytes of every scope's messages, deflated as one session, under no dictionary, a fixed one and the scope's best terms."""
+    from weft.functions.mining import dictionary_matrix
+
+    return dictionary_matrix(read(spark, d, "msgs"), "conv_id", "turn", "role", "text")
 
 
 @query("sup_profile_suite", "SELECT profile, codec, mbps, count(*) AS n, round(sum(request_bytes) * 8.0 / (mbps * 1000.0), 3) AS wire_ms FROM runs JOIN (VALUES ('lan', 940.0), ('wifi', 90.0), ('lte', 25.0), ('mesh', 8.0)) p(profile, mbps) USING (profile) GROUP BY profile, codec, mbps")

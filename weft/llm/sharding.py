@@ -16,12 +16,14 @@ its own where rows are cut into parts, and a document over the limit the only ki
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.exchange import checkpoint
 
-HASH_BITS, SPARE_BITS, MORE_BITS, SALTS = 60, 5, 8, 64
+HASH_BITS, SPARE_BITS, MORE_BITS, STEP, SALTS = 60, 5, 8, 8, 64
 LEAST_LIMIT, GROWTH = 64 << 10, 64
 
 
@@ -33,12 +35,23 @@ def limit_for(total: int) -> int:
 def _leaves(cells: DataFrame, above: int, deep: int, limit: int) -> DataFrame:
     """cell, depth, node and node_bytes: the shallowest prefix that fits, or else the cell itself, for cells of deep bits.
 
-    Prefixes of above bits and fewer are known to be over the limit.
+    Prefixes of above bits and fewer are known to be over the limit, unless above is 0.  STEP bits are worked out
+    at a time, from sums of that many bits, so a prefix has at most 2**STEP descendants in a step.
     """
-    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(above), F.lit(deep)))).withColumn("node", F.expr(f"shiftright(cell, {deep} - depth)"))
-    nodes = levels.groupBy("depth", "node").agg(F.sum("bytes").alias("node_bytes"))
-    fits = levels.join(nodes, ["depth", "node"]).where(f"node_bytes <= {limit} OR depth = {deep}")
-    return fits.groupBy("cell").agg(F.min(F.struct("depth", "node", "node_bytes")).alias("leaf")).select("cell", "leaf.*")
+    left, found = cells.select("cell", "bytes"), []
+    for upper in range(above, deep, STEP) if deep else [0]:
+        low = min(deep, upper + STEP)
+        coarse = left.groupBy(F.expr(f"shiftright(cell, {deep - low})").alias("c")).agg(F.sum("bytes").alias("bytes"))
+        depths = F.sequence(F.lit(upper if upper == above else upper + 1), F.lit(low))
+        levels = coarse.withColumn("depth", F.explode(depths)).withColumn("node", F.expr(f"shiftright(c, {low} - depth)"))
+        nodes = levels.groupBy("depth", "node").agg(F.sum("bytes").alias("node_bytes"))
+        fits = levels.join(nodes, ["depth", "node"]).where(f"node_bytes <= {limit}" + (f" OR depth = {deep}" if low == deep else ""))
+        leaf = fits.groupBy("c").agg(F.min(F.struct("depth", "node", "node_bytes")).alias("leaf"))
+        at = left.withColumn("c", F.expr(f"shiftright(cell, {deep - low})")).join(leaf, "c", "left")
+        at = checkpoint(at) if low < deep else at
+        found.append(at.where("leaf IS NOT NULL").select("cell", "leaf.*"))
+        left = at.where("leaf IS NULL").select("cell", "bytes")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _parts(over: DataFrame, limit: int) -> DataFrame:

@@ -168,3 +168,27 @@ def test_jaccard_cases(spark):
     by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
     assert by == {1: (0, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), None: (1, None), 5: (1, 5), 6: (0, 6)}
     assert jaccard_components(df.limit(0)).count() == 0
+
+
+def test_joins_with_hot_keys_agree(spark, monkeypatch):
+    from weft.llm import graph
+
+    rows = spark.createDataFrame([(i, i % 3 if i > 50 else 7) for i in range(200)] + [(900, None)], "id long, k long")
+    of = spark.createDataFrame([(7, "a"), (0, "b"), (1, "c")], "k long, x string")
+    counts = rows.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n")
+    for how in ("inner", "left"):
+        got = []
+        for most in (10, 10_000):
+            monkeypatch.setattr(graph, "ROWS_A_KEY", most)
+            got.append(sorted(repr(tuple(r)) for r in graph.join_hot(rows, of, ["k"], counts, "id", 201, how).select("id", "k", "x").collect()))
+        assert got[0] == got[1] and len(got[0]) == (rows.join(of, "k", how).count())
+
+
+def test_many_copies_in_one_class(spark, monkeypatch):
+    from weft.llm import graph
+
+    monkeypatch.setattr(graph, "ROWS_A_KEY", 20)
+    texts = ["the same text of a few words again"] * 150 + ["the same text of a few words again and more words"] * 5 + ["something else that is not alike at all"] * 3
+    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()}
+    assert all(got[i] == 1 for i in range(1, 151)) and {got[i] for i in range(156, 159)} == {156} and len(got) == 158

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.exchange import checkpoint
-from weft.llm.graph import components
+from weft.llm.graph import components, join_hot
 from weft.llm.vectors import by_length, lists, matrix, sorted_runs, unit, usable
 
 SIGMAS, BLOCK, EXACT, PER_BUCKET, MISS = 6.0, 4096, 65_536, 1024, 1e-6
@@ -215,7 +215,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     of = classes.join(linked, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
     of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    back = good.join(of, "v").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    back = join_hot(good, of, ["v"], classes.select("v", F.col("m").alias("n")), "id", n).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(id_col).cast("long").alias("id")).join(back, "id", "left")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),

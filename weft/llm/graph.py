@@ -1,4 +1,4 @@
-"""Connected components of a links table, by alternating large and small stars."""
+"""Connected components of a links table, by alternating large and small stars, and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from weft.llm.exchange import checkpoint
 
 
+ROWS_A_KEY, HOT_KEYS = 1024, 100_000
+
+
+def join_hot(rows: DataFrame, of: DataFrame, keys: list[str], counts: DataFrame, spread: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with of (one row a key), where counts(keys, n) tells how many rows a key may have.
+
+    Keys of over ROWS_A_KEY rows, or over total / HOT_KEYS if that is more, are hot: their rows are dealt over as
+    many salts by the hash of the column spread, and of has a copy for each.  There are HOT_KEYS of them at most,
+    which is why they may be shipped.
+    """
+    most = max(ROWS_A_KEY, -(-total // HOT_KEYS))
+    hot = checkpoint(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts")))
+    if not hot.take(1):
+        return rows.join(of, keys, how)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    right = of.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every end of links(a, b); component is the least node reachable.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.exchange import ENTRY, PART_BYTES, answers, checkpoint, entries, grouped, look_up, parts_of, table
-from weft.llm.graph import components
+from weft.llm.graph import components, join_hot
 from weft.llm.words import U, Words, slices
 
 EMPTY = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("n", pa.int32()), ("h", pa.binary()), ("v", pa.binary()), ("w", pa.binary())])
@@ -168,8 +168,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     each = checkpoint(texts.mapInArrow(sizes, SETS))
     known = each.where("n > 0 AND id IS NOT NULL")
-    same = checkpoint(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
-    copies = checkpoint(known.join(same, ["n", "s1", "s2"]).where("id <> rep").select("id", "grp", "rep"))
+    same = checkpoint(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    total, by_size = each.count(), same.withColumnRenamed("n", "size")
+    counts = by_size.select("size", "s1", "s2", "rep", F.col("copies").alias("n"))
+    copies = join_hot(known.withColumnRenamed("n", "size"), by_size.drop("copies"), ["size", "s1", "s2"], counts, "id", total)
+    copies = checkpoint(copies.where("id <> rep").select("id", "grp", "rep"))
     by = texts.groupBy("grp")
     often = answers(by.cogroup(copies.groupBy("grp")).applyInArrow(frequencies, ENTRY), n, _solve)
     told = often.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "h", "v", "w").unionByName(
@@ -183,7 +186,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links)
     part = copies.select("id", F.col("rep").alias("node")).distinct()
     label = each.select("id", F.col("n").alias("n_shingles")).join(part.groupBy("id").agg(F.min("node").alias("rep")), "id", "left")
-    label = label.withColumn("node", F.coalesce("rep", "id")).join(found, "node", "left")
+    label = join_hot(label.withColumn("node", F.coalesce("rep", "id")), found, ["node"], counts.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "id", total, "left")
     return label.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 

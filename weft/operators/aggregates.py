@@ -76,6 +76,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return g.join(g.agg(F.sum("n").alias("total"))).withColumn("share", F.round(F.col("n") / F.col("total"), 9)).drop("total")
 
 
+@query("agg_method_effectiveness", "SELECT codec, max(request_bytes / response_bytes) AS best, min(request_bytes / response_bytes) AS worst, round(avg(request_bytes / response_bytes), 6) AS mean, round(coalesce(stddev_samp(request_bytes / response_bytes), 0), 6) AS spread, round(avg(CASE WHEN request_bytes / response_bytes > 1.1 THEN 1 ELSE 0 END), 9) AS effective FROM runs GROUP BY codec")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("request_bytes") / F.col("response_bytes")
+    return read(spark, d, "runs").groupBy("codec").agg(F.max(r).alias("best"), F.min(r).alias("worst"), F.round(F.avg(r), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(r), F.lit(0.0)), 6).alias("spread"), F.round(F.avg((r > 1.1).cast("int")), 9).alias("effective"))
+
+
+@query("agg_chunk_ratios", "SELECT coalesce(method, 'none') AS method, round(avg(original_size / compressed_size), 6) AS mean, round(median(original_size / compressed_size), 6) AS median, round(coalesce(stddev_samp(original_size / compressed_size), 0), 6) AS spread FROM audit GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("original_size") / F.col("compressed_size")
+    return read(spark, d, "audit").groupBy(F.coalesce("method", F.lit("none")).alias("method")).agg(F.round(F.avg(r), 6).alias("mean"), F.round(F.median(r), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(r), F.lit(0.0)), 6).alias("spread"))
+
+
 @query("agg_tradeoff", "WITH m AS (SELECT min(request_bytes) a, max(request_bytes) b, min(p95_ms) c, max(p95_ms) e FROM runs) SELECT round(avg(0.6 * CASE WHEN b = a THEN 0.5 ELSE (request_bytes - a) / (b - a) END + 0.4 * CASE WHEN e = c THEN 0.5 ELSE 1 - (p95_ms - c) / (e - c) END), 6) AS score FROM runs, m")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "runs")

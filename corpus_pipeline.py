@@ -20,10 +20,18 @@ from weft.llm.jaccard import jaccard_components
 THRESHOLD = 0.3
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """name, or a longer one if docs has a column of that name."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    score = free(docs, "__score")
+    return quality.score(docs, model, out=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +51,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    of = mixing.mix(docs).groupBy("doc_id", mixing.source_key().alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    copies, name, source, size, one = (free(docs, c) for c in ("__copies", "__id", "__key", "__size", "__copy"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    of = of.withColumn("__id", key).drop("doc_id")
-    taken = docs.withColumns({"__id": key, "__key": mixing.source_key()}).join(of, ["__id", "__key"])
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    of = mixing.mix(docs).groupBy(key.alias(name), mixing.source_key().alias(source), F.col("size").alias(size)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    taken = docs.withColumns({name: key, source: mixing.source_key(), size: mixing.word_count("text")}).join(of, [name, source, size])
+    return taken.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

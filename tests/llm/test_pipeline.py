@@ -43,3 +43,14 @@ def test_cases(spark):
         assert f(spark, docs, SF).count() >= 1, name
         assert f(spark, docs.limit(0), SF).count() == 0, name
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    names = ("__score", "__id", "__key", "__copies", "__copy", "__size", "score", "size", "grp", "rest", "key", "u")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k % 9}" for k in range(5 + i)), "en", "ab"[i % 2], 9, *[f"{n} {i}" for n in names]) for i in range(12)], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert all(r[n] == f"{n} {r['doc_id']}" for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 12

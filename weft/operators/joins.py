@@ -70,9 +70,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("join_route_overlap", """WITH r(ord, handler, ids) AS (VALUES (1, 'greet', [1, 2]), (2, 'task', [2, 3, 4]), (3, 'report', [5]))
 SELECT id, min_by(handler, ord) AS handler FROM (SELECT id, [user_id % 7, original_size % 7] AS t FROM audit) a LEFT JOIN r ON list_has_any(a.t, r.ids) GROUP BY id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    routes = spark.createDataFrame([(1, "greet", [1, 2]), (2, "task", [2, 3, 4]), (3, "report", [5])], "ord int, handler string, ids array<bigint>")
-    a = read(spark, d, "audit").select("id", F.expr("array(user_id % 7, original_size % 7)").alias("t"))
-    return a.join(F.broadcast(routes), F.arrays_overlap("t", "ids"), "left").groupBy("id").agg(F.min_by("handler", "ord").alias("handler"))
+    """The first route that handles one of a message's templates.  Routes are turned round once (template to first
+    route), so each row asks a map of them and nothing is joined or shuffled."""
+    routes = [("greet", [1, 2]), ("task", [2, 3, 4]), ("report", [5])]
+    first = {i: n for n, (_, ids) in reversed(list(enumerate(routes))) for i in ids}
+    lut = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
+    place = F.array_min(F.transform(F.array("user_id", "original_size"), lambda x: lut[(x % 7).cast("int")]))
+    return read(spark, d, "audit").select("id", F.get(F.array(*[F.lit(h) for h, _ in routes]), place).alias("handler"))
 
 
 @query("join_sidechannel_route", "SELECT id, CASE WHEN user_id % 10 = 0 THEN 'security_block_handler' WHEN user_id % 10 = 1 THEN 'human_review_handler' WHEN latency_ms > 50 AND event_type = 'view' THEN 'code_interpreter_handler' WHEN latency_ms > 30 THEN 'web_fetch_handler' WHEN method IS NOT NULL AND method <> '' THEN 'template_response_handler' WHEN event_type = 'error' THEN 'clarification_handler' WHEN event_type = 'signup' THEN 'instruction_handler' ELSE 'general_nlp_handler' END AS handler FROM audit")

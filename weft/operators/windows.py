@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.registry import query, read
 
 
-def numbered(df: DataFrame, bins: list[str], order: list[str], name: str) -> DataFrame:
-    """Positions from 0 in the order of bins, then order.  Rows are ordered within their bin only; bins are
-    counted first and take their offsets from a running sum over those counts."""
-    offset = F.sum("n").over(Window.orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1))
-    before = df.groupBy(*bins).agg(F.count("*").alias("n")).select(*bins, F.coalesce(offset, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy(*bins).orderBy(*order)) - 1
-    return df.withColumn(name, place).join(before, bins).withColumn(name, F.col(name) + F.col("before")).drop("before")
+def running(df: DataFrame, within: list[str], bins: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums within a key, in the order of bins, then order.  Rows are ordered within their bin only; bins
+    are summed first and take their offsets from a running sum over those, so a hot key is not one task."""
+    keys, before, here = [*within, *bins], Window.partitionBy(*within).orderBy(*bins), Window.partitionBy(*within, *bins).orderBy(*order)
+    before, here = before.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
+    part = df.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    part = part.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], *[F.sum(n).over(before).alias(f"__{n}") for n in sums])
+    rows = df.withColumns({n: F.sum(e).over(here) for n, e in sums.items()})
+    same = [rows[k].eqNullSafe(part[f"__key{i}"]) for i, k in enumerate(keys)]
+    both = {n: F.when(F.col(n).isNull(), F.col(f"__{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0))) for n in sums}
+    return rows.join(part, same).withColumns(both).drop(*[c for c in part.columns])
+
+
+def numbered(df: DataFrame, bins: list[str], order: list[str], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Positions from 0 (within a key) in the order of bins, then order."""
+    return running(df, list(within), bins, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 @query("win_epoch_direction", "SELECT conv_id, turn, rn // 2 AS exchange, CASE WHEN rn % 2 = 0 THEN 'client_to_server' ELSE 'server_to_client' END AS direction, CASE WHEN rn // 2 < 2 THEN 0 ELSE 1 END AS epoch FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM msgs)")
@@ -35,8 +44,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("win_scorer_gate", """WITH b AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY id) - 1) // 50 AS block, original_size FROM audit), g AS (SELECT event_type, block, count(*) AS n, avg(CASE WHEN original_size BETWEEN 400 AND 2048 THEN 1.0 ELSE 0.0 END) AS share FROM b GROUP BY ALL)
 SELECT event_type, block, round(share, 6) AS share, min(CASE WHEN n = 50 AND share < 0.6 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY block) AS enabled FROM g""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy("event_type").orderBy("id")) - 1
-    b = read(spark, d, "audit").withColumn("rn", rn).withColumn("block", F.expr("rn div 50"))
+    a = read(spark, d, "audit").withColumn("bin", F.expr("id div 65536"))
+    b = numbered(a, ["bin"], ["id"], "rn", ("event_type",)).withColumn("block", F.expr("rn div 50"))
     g = b.groupBy("event_type", "block").agg(F.count("*").alias("n"), F.avg(F.col("original_size").between(400, 2048).cast("int")).alias("share"))
     latch = F.min(F.when((F.col("n") == 50) & (F.col("share") < 0.6), 0).otherwise(1)).over(Window.partitionBy("event_type").orderBy("block"))
     return g.select("event_type", "block", F.round("share", 6).alias("share"), latch.alias("enabled"))
@@ -44,8 +53,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win_running_mean", "SELECT id, CAST(sum(CAST(latency_ms AS DECIMAL(18, 2))) OVER w AS DOUBLE) / count(*) OVER w AS mean FROM audit WINDOW w AS (PARTITION BY event_type ORDER BY id ROWS UNBOUNDED PRECEDING)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return read(spark, d, "audit").select("id", (F.sum(F.col("latency_ms").cast("decimal(18,2)")).over(w).cast("double") / F.count("*").over(w)).alias("mean"))
+    a = read(spark, d, "audit").withColumn("bin", F.expr("id div 65536"))
+    r = running(a, ["event_type"], ["bin"], ["id"], {"total": F.col("latency_ms").cast("decimal(18,2)"), "n": F.lit(1)})
+    return r.select("id", (F.col("total").cast("double") / F.col("n")).alias("mean"))
 
 
 @query("win_cache_hits", "SELECT session_id, count(*) AS n, count(*) FILTER (k > 1) AS hits, round(count(*) FILTER (k > 1) / count(*), 9) AS hit_rate FROM (SELECT session_id, row_number() OVER (PARTITION BY session_id, event_type, user_id ORDER BY id) AS k FROM audit) GROUP BY session_id")
@@ -67,7 +77,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").withColumn("k", k).where("k <= 20").select("session_id", "id")
 
 
-def link_queue(df: DataFrame, key: str, order: str, arrival: str, service: str) -> DataFrame:
+def link_queue(df: DataFrame, key: str | list[str], order: str, arrival: str, service: str) -> DataFrame:
     """Finish of each frame on a shared link: max(arrival, finish before) + service, in closed form."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("sum_", F.sum(service).over(w))

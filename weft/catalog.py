@@ -5,6 +5,6 @@ from weft.operators import aggregates, audit, discovery, joins, protocol, sets,
 from weft.plans import metrics, rollups
 from weft.registry import QUERIES, SQL
 from weft.sources import tables
-from weft.streaming import sessions
+from weft.streaming import gates, sessions
 
-__all__ = ["QUERIES", "SQL", "aggregates", "audit", "codecs", "discovery", "documents", "features", "frames", "joins", "metrics", "mining", "phrases", "protocol", "rollups", "scoring", "sessions", "sets", "supplement", "tables", "templates", "text", "transport", "windows"]
+__all__ = ["QUERIES", "SQL", "aggregates", "audit", "codecs", "discovery", "documents", "features", "frames", "gates", "joins", "metrics", "mining", "phrases", "protocol", "rollups", "scoring", "sessions", "sets", "supplement", "tables", "templates", "text", "transport", "windows"]

@@ -67,6 +67,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").select("id", ((F.size(ids) > 0) & F.forall(ids, lambda i: i.between(0, 120))).alias("fast"))
 
 
+def fast_path(header: Column) -> Column:
+    """intent, handler, security_passed, ratio and savings of a message, from its 12-byte header alone; null without one.
+
+    Flags: 128 blocked, 64 to be reviewed, 32 code, 16 links."""
+    from weft.operators.joins import INTENTS, route_message
+    from weft.operators.protocol import CATEGORY_INTENT
+
+    h = decode_header(header)
+    flag = lambda n: h["flags"].bitwiseAND(n) > 0
+    of_template = F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv])
+    category = F.get(F.array(*[F.lit(c) for c in CATEGORY_INTENT]), h["category"])
+    intent = F.coalesce(of_template[h["template"]], F.create_map(*[F.lit(x) for kv in CATEGORY_INTENT.items() for x in kv])[category], F.lit("statement"))
+    level = F.when(flag(128), 0).when(flag(64), 1).otherwise(2)
+    handler = route_message(level, flag(32), intent, flag(16), h["template"], category)
+    record = F.struct(intent.alias("intent"), handler.alias("handler"), (~flag(128)).alias("security_passed"), F.round(F.try_divide(h["original"], h["compressed"]), 6).alias("ratio"), F.round(1 - F.try_divide(h["compressed"], h["original"]), 6).alias("savings"))
+    return F.when(h.isNotNull(), record)
+
+
+@query("flt_fast_path_record", f"""WITH h AS (SELECT id, least(original_size * 80, 65535) AS o, compressed_size AS c, CASE WHEN id % 3 <> 0 THEN id % 200 END AS t, id % 12 AS k, {FLAGS} AS f FROM audit),
+i(t, intent) AS (VALUES (0, 'limitation'), (1, 'limitation'), (2, 'limitation'), (10, 'fact'), (11, 'fact'), (12, 'fact'), (20, 'definition'), (21, 'definition'), (22, 'definition'), (30, 'code_example'), (31, 'code_example'), (32, 'code_example'), (40, 'instruction'), (41, 'instruction'), (42, 'instruction'), (60, 'comparison'), (61, 'comparison'), (70, 'explanation'), (71, 'explanation'), (80, 'enumeration'), (81, 'enumeration'), (90, 'recommendation'), (91, 'recommendation'), (100, 'clarification'), (101, 'clarification'), (120, 'feature')),
+n AS (SELECT h.*, coalesce(intent, ['question', 'confirmation', 'denial', 'instruction', 'recommendation', 'code_example', 'answer', 'explanation'][k + 1], 'statement') AS intent FROM h LEFT JOIN i USING (t))
+SELECT id, intent, CASE WHEN f & 128 > 0 THEN 'security_block_handler' WHEN f & 64 > 0 THEN 'human_review_handler' WHEN f & 32 > 0 AND intent = 'question' THEN 'code_interpreter_handler' WHEN f & 16 > 0 THEN 'web_fetch_handler' WHEN t IS NOT NULL THEN 'template_response_handler'
+ WHEN k = 0 THEN 'clarification_handler' WHEN k = 3 THEN 'instruction_handler' ELSE 'general_nlp_handler' END AS handler, f & 128 = 0 AS security_passed, round(o / c, 6) AS ratio, round(1 - c / o, 6) AS savings FROM n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    h = encode_header(F.col("id") % 4, F.col("original_size") * 80, F.col("compressed_size"), F.when(F.col("id") % 3 != 0, F.col("id") % 200), F.col("id") % 12, F.col("id") % 5, F.expr(FLAGS))
+    return read(spark, d, "audit").select("id", h.alias("header")).select("id", fast_path(F.col("header")).alias("r")).select("id", "r.*")
+
+
 @query("flt_message_size", "SELECT id, CASE WHEN compressed_size % 3 = 0 THEN compressed_size WHEN original_size % 2 = 0 THEN original_size * 4 ELSE 1000 END AS estimate FROM audit")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").select("id", F.coalesce(F.when(F.col("compressed_size") % 3 == 0, F.col("compressed_size")), F.when(F.col("original_size") % 2 == 0, F.col("original_size") * 4), F.lit(1000)).alias("estimate"))

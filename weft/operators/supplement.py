@@ -277,3 +277,15 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     if n["n"] and (n["u"] != n["n"] or n["lo"] != 0 or n["hi"] != n["n"] - 1):
         raise ValueError("replay log is not continuous")
     return r
+
+
+def static_dictionary(terms: DataFrame, term: str, weight: str, most: int = 1000, repeats: int = 12, size: int = 32_768) -> DataFrame:
+    """payload: the best terms, best last, a line each, repeated so that all lie in the window's end, cut from the end."""
+    best = terms.orderBy(F.desc(weight), term).limit(most)
+    lines = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(weight).alias("w"), F.col(term).alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n"))
+    return best.agg(F.right(F.repeat(lines, F.lit(repeats)), F.lit(size)).alias("payload"))
+
+
+@query("fn_static_dictionary", "WITH t AS (SELECT p_type AS t, count(*) AS w FROM part GROUP BY p_type ORDER BY w DESC, t LIMIT 1000) SELECT right(repeat(string_agg(t, chr(10) ORDER BY w, t) || chr(10), 12), 32768) AS payload FROM t")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return static_dictionary(read(spark, d, "part").groupBy("p_type").count(), "p_type", "count")

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.registry import query, read
@@ -136,3 +136,54 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("src_blob_tiers", "SELECT sha256(entry_id) AS key, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'cold' ELSE 'hot' END AS tier FROM audit WHERE ts + INTERVAL 20 DAY > TIMESTAMP '2024-01-25'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "audit").where("ts + INTERVAL 20 DAYS > TIMESTAMP_NTZ '2024-01-25'").select(F.sha2("entry_id", 256).alias("key"), F.when(F.expr("ts < TIMESTAMP_NTZ '2024-01-15'"), "cold").otherwise("hot").alias("tier"))
+
+
+def put_blobs(store: DataFrame, new: DataFrame) -> DataFrame:
+    """store(key, data, stored_at, ttl_seconds, tier) with new(name, data, stored_at, ttl_seconds): a blob's key is the
+    SHA-256 of its name, it goes to the hot tier, and the latest of a key stays."""
+    hot = new.select(F.sha2(F.col("name"), 256).alias("key"), "data", "stored_at", "ttl_seconds", F.lit("hot").alias("tier"))
+    order = F.struct("stored_at", (F.col("tier") == "hot").alias("fresh"), "data")
+    return store.unionByName(hot).groupBy("key").agg(F.max_by(F.struct("data", "stored_at", "ttl_seconds", "tier"), order).alias("b")).select("key", "b.*")
+
+
+def alive(store: DataFrame, now: Column) -> DataFrame:
+    """What has not expired; without a time to live (null or 0) a blob stays."""
+    age = F.unix_seconds(now) - F.unix_seconds(F.col("stored_at"))
+    return store.where(F.coalesce(F.col("ttl_seconds"), F.lit(0)) == 0).unionByName(store.where((F.col("ttl_seconds") != 0) & (age <= F.col("ttl_seconds"))))
+
+
+def get_blobs(store: DataFrame, names: DataFrame, now: Column) -> DataFrame:
+    """name, data and tier of the blobs asked for that are there and alive."""
+    asked = names.select("name").distinct().withColumn("key", F.sha2(F.col("name"), 256))
+    return asked.join(alive(store, now), "key").select("name", "data", "tier")
+
+
+def to_cold(store: DataFrame, names: DataFrame) -> DataFrame:
+    gone = names.select(F.sha2(F.col("name"), 256).alias("key")).distinct().withColumn("moved", F.lit(True))
+    return store.join(gone, "key", "left").withColumn("tier", F.when(F.col("moved"), "cold").otherwise(F.col("tier"))).drop("moved")
+
+
+@query("src_blob_store", """WITH p AS (SELECT user_id, max_by(entry_id, (ts, entry_id)) AS data, max(ts) AS put_at, max_by(id % 30, (ts, entry_id)) AS days FROM audit GROUP BY user_id)
+SELECT 'u' || user_id AS name, data, CASE WHEN user_id % 3 = 0 THEN 'cold' ELSE 'hot' END AS tier FROM p WHERE user_id % 2 = 0 AND (days = 0 OR epoch(TIMESTAMP '2024-02-10')::BIGINT - floor(epoch(put_at))::BIGINT <= days * 86400)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's last entry is put, a third is moved to the cold tier, and even users are asked for later."""
+    a = read(spark, d, "audit").select(F.concat(F.lit("u"), "user_id").alias("name"), "user_id", F.col("entry_id").alias("data"), F.col("ts").cast("timestamp").alias("stored_at"), (F.col("id") % 30 * 86400).alias("ttl_seconds"))
+    empty = spark.createDataFrame([], "key string, data string, stored_at timestamp, ttl_seconds long, tier string")
+    store = to_cold(put_blobs(empty, a), a.where("user_id % 3 = 0"))
+    return get_blobs(store, a.where("user_id % 2 = 0"), F.lit("2024-02-10 00:00:00").cast("timestamp"))
+
+
+@query("src_bursty_messages", """SELECT range AS idx, '{"index":' || range || CASE WHEN range % 16 = 0 THEN ',"burst":{"kind":"large","chunks":[' || array_to_string(list_transform(range(0, 8), lambda c: '{"index":' || c || ',"text":"segment ' || c || ' of message ' || range.range || '"}'), ',') || ']}'
+ WHEN range % 4 = 0 THEN ',"burst":{"kind":"medium","summary":"message ' || range || '"}' ELSE '' END || ',"profile":{"name":"bursty","size_class":"' || CASE WHEN range % 16 = 0 THEN 'large' WHEN range % 4 = 0 THEN 'medium' ELSE 'small' END || '"}}' AS body FROM range(1024)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return bursty(spark, 1024)
+
+
+def bursty(spark: SparkSession, count: int) -> DataFrame:
+    """idx and JSON body: every sixteenth message carries eight segments, every fourth a summary."""
+    i = F.col("id")
+    text = lambda c: F.concat(F.lit("segment "), c, F.lit(" of message "), i)
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.struct(c.alias("index"), text(c).alias("text")))
+    kind = F.when(i % 16 == 0, "large").when(i % 4 == 0, "medium").otherwise("small")
+    burst = F.when(kind != "small", F.struct(kind.alias("kind"), F.when(kind == "large", chunks).alias("chunks"), F.when(kind == "medium", F.concat(F.lit("message "), i)).alias("summary")))
+    return spark.range(count).select(i.alias("idx"), F.to_json(F.struct(i.alias("index"), burst.alias("burst"), F.struct(F.lit("bursty").alias("name"), kind.alias("size_class")).alias("profile"))).alias("body"))

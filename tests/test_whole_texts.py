@@ -1,5 +1,6 @@
 """Operators over whole texts, against plain Python."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weft import catalog
 from weft.functions import documents
+from weft.operators import ngrams as operator
 from weft.operators.aggregates import frequent_ngrams
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +54,31 @@ def test_frequent_ngrams(spark, messages):
         want = ngrams(texts, least)
         assert got == want
     assert max(map(len, want)) == 99 and want["repeated message tex"] == 3 and "repeated message text" not in want
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a", "ab \t ", "abcdefgh \u00e9\U0001f600\x00\n", "a\x1f\x85 b"])
+def test_frequent_ngrams_over_chunks_and_pieces(spark, monkeypatch, alphabet):
+    for name, size in (("PIECE", 200), ("PART", 1500), ("LEAST", 1500)):
+        monkeypatch.setattr(operator, name, size)
+    draw = random.Random(7)
+    base = "".join(draw.choice(alphabet) for _ in range(420))
+    texts = ["".join(draw.choice(alphabet) for _ in range(n)) for n in (0, 1, 9, 10, 11, 15, 16, 17, 31, 32, 33, 98, 99, 100, 101, 199, 298, 299, 300, 301, 420)]
+    texts += [base[draw.randrange(200) :][: draw.randrange(420)] for _ in range(12)] + [base[:99]] * 4 + [base[:100]] * 3 + [base]
+    for least in (1, 3):
+        got = [(r["gram"], r["n"]) for r in frequent_ngrams(spark.createDataFrame([(t,) for t in [*texts, None]], "t string"), "t", least).collect()]
+        assert len(got) == len(dict(got)) and dict(got) == ngrams(texts, least)
+
+
+def test_frequent_ngrams_exchange_a_few_bytes_a_place(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        each = sc.statusStore().executorList(True)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    texts = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    places = texts.agg(F.sum(F.length("text"))).first()[0]
+    before = written()
+    assert frequent_ngrams(texts, "text").count() == 22677
+    assert written() - before < 20 * places

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.ngrams import frequent_ngrams
 from weft.registry import query, read
 
 
@@ -142,28 +141,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.explode(F.expr("transform(sequence(1, length(t) - 11), s -> substring(t, s, 12))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-LEVELS, SPACE = (10, 16, 32, 100), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
-def frequent_ngrams(texts: DataFrame, text_col: str, least: int = 3) -> DataFrame:
-    """gram and n: the substrings of 10 to 99 characters, shorter than their text, that occur least times or more.
-
-    Every place of every text counts; grams of under 10 characters between their outer spaces are left out.  A
-    place goes on to the longer grams of the next level only if its gram of that level's length is frequent.
-    """
-    text = F.col(text_col)
-    every = texts.where(F.length(text) > LEVELS[0]).select(text.alias("text"), F.explode(F.sequence(F.lit(1), F.length(text) - LEVELS[0] + 1)).alias("at"))
-    tails = every.select(F.substring("text", F.col("at"), F.least(F.lit(LEVELS[-1] - 1), F.length("text") - 1)).alias("tail")).groupBy("tail").agg(F.count("*").alias("m"))
-    found = []
-    for low, high in zip(LEVELS, LEVELS[1:], strict=False):
-        keyed = tails.where(F.length("tail") >= low).withColumn("key", F.left("tail", F.lit(low)))
-        often = keyed.groupBy("key").agg(F.sum("m").alias("often")).where(F.col("often") >= least)
-        tails = keyed.join(often.select("key"), "key").select("tail", "m")
-        grams = tails.select(F.explode(F.expr(f"transform(sequence({low}, least({high - 1}, length(tail))), k -> left(tail, k))")).alias("gram"), "m")
-        found.append(grams.groupBy("gram").agg(F.sum("m").alias("n")).where(F.col("n") >= least))
-    return reduce(DataFrame.union, found).where(F.length(F.regexp_replace("gram", SPACE, "")) >= LEVELS[0])
-
-
 @query("agg_frequent_ngrams")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return frequent_ngrams(read(spark, d, "msgs"), "text")
